@@ -25,7 +25,7 @@ from sectorlake.llm.textcore import chunks
 RULES = [
     ("symbols", lambda s: (s["n_symbols"], s["n_words"]), (">", 0.10), ("<", 0.02)),
     ("repeats", lambda s: (s["n_repeat_words"], s["n_words"]), (">", 0.30), ("<", 0.10)),
-    ("dup_lines", lambda s: (s["n_dup_lines"], s["n_lines"]), (">", 0.30), ("<", 0.05)),
+    ("dup_lines", lambda s: (s["n_dup_lines"], s["n_lines"]), (">", 0.45), ("<", 0.20)),
     ("capitals", lambda s: (s["n_upper"], s["n_upper"] + s["n_lower"]), (">", 0.50), ("<", 0.20)),
     ("punctuation", lambda s: (s["n_punct"], s["word_chars"]), (">", 0.20), ("<", 0.08)),
     ("shouting", lambda s: (s["n_bang_words"], s["n_words"]), (">", 0.25), ("<", 0.02)),
