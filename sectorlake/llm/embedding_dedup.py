@@ -230,7 +230,7 @@ def dedup(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id"
 ORACLE_SQL = """
     WITH RECURSIVE rows_ AS (SELECT row_number() OVER () AS rn, vec_id, label, embedding FROM embeddings),
     good AS (SELECT rn, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM rows_ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-        AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
     links AS (SELECT a.rn, a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.rn <> b.rn
         WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93),
     reach(x, y) AS (SELECT DISTINCT vec_id, vec_id FROM rows_ UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sectorlake.llm import byte_bpe, embedding_dedup, html_extract, licenses, packing, quality_classifier, quality_rules, toxicity
+from sectorlake.llm import byte_bpe, embedding_dedup, html_extract, licenses, minhash_dedup, packing, quality_classifier, quality_rules, toxicity
 from sectorlake.llm.bpe import vocabulary
 from sectorlake.llm.session import read
 
@@ -32,6 +32,10 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup(read(spark, sf_dir, "embeddings"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.dedup(read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_html_extraction, op3_license_scan, op4_packing, op5_embedding_dedup, op7_quality_rules, op8_byte_bpe, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_toxicity, op2_html_extraction, op3_license_scan, op4_packing, op5_embedding_dedup, op6_minhash_dedup, op7_quality_rules, op8_byte_bpe, op9_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:

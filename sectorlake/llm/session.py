@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +21,25 @@ def cut(df: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _checkpoint_root(spark: SparkSession) -> str:
+    cut_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if cut_dir.isEmpty():
+        cut(spark.range(1))
+        cut_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return cut_dir.get()
+
+
+class Stored:
+    """A table written as Parquet to the shared checkpoint folder, until ``drop``."""
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.path = f"{_checkpoint_root(self.spark)}/{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
