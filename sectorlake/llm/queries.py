@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sectorlake.llm import byte_bpe, embedding_dedup, html_extract, licenses, minhash_dedup, packing, quality_classifier, quality_rules, toxicity
+from sectorlake.llm import byte_bpe, embedding_dedup, html_extract, licenses, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, toxicity
 from sectorlake.llm.bpe import vocabulary
 from sectorlake.llm.session import read
 
@@ -49,8 +49,13 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(found["row.doc_id"].alias("doc_id"), "n_removed_lines", "source_ids", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_html_extraction, op3_license_scan, op4_packing, op5_embedding_dedup, op6_minhash_dedup, op7_quality_rules, op8_byte_bpe, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_toxicity, op2_html_extraction, op3_license_scan, op4_packing, op5_embedding_dedup, op6_minhash_dedup, op7_quality_rules, op8_byte_bpe, op9_quality_classifier, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
