@@ -170,3 +170,14 @@ def apply(docs: DataFrame, model: Model, threshold: float, id_col: str = "doc_id
 
     scored = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col), *keep).mapInArrow(run, f"{fields}, score double")
     return scored.select(id_col, *keep, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def below(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with a score under the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most ``terms`` features
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.empty(0), *(sent.value.score(data, offsets) for _, _, data, offsets in chunks(texts))]))
+
+    return docs.where(score(F.col(text_col).cast("string")) < threshold)

@@ -107,3 +107,24 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     table = spark.createDataFrame(list(posterior.items()) or [(-1, 0.0)], "pattern bigint, quality double")
     scored = rows.join(F.broadcast(table), "pattern").withColumn("base_failed", base_failed())
     return scored.select(id_col, *keep, *COUNTS, "base_failed", "quality", (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"))
+
+
+def survivors(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, that are kept.  The texts are read twice and cross no shuffle."""
+    none = docs.select(F.lit(0).alias("_id"), F.col(text_col).alias("_text"))
+    counted = {r[0]: r[1] for r in measured(none, "_id", "_text", []).groupBy("pattern").count().collect()}  # at most 3 ** 8 rows
+    posterior, _, _ = estimate(counted)
+    good = np.zeros(3 ** len(RULES))
+    good[list(posterior)] = list(posterior.values())
+
+    @F.arrow_udf("boolean")
+    def kept(texts: pa.Array) -> pa.Array:
+        out = [np.empty(0, bool)]
+        for _, _, data, offsets in chunks(texts):
+            s = stats(data, offsets)
+            pattern = (votes(s).astype(np.int64) + 1) @ (3 ** np.arange(len(RULES)))
+            failed = (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
+            out.append(~failed & (good[pattern] >= threshold))
+        return pa.array(np.concatenate(out))
+
+    return docs.where(kept(F.col(text_col).cast("string")))

@@ -21,3 +21,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
 def score(docs: DataFrame, model: classifiers.Model, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, kept columns, held_out, score, predicted (1: toxic)."""
     return classifiers.apply(docs, model, threshold, keep=keep)
+
+
+def clean(docs: DataFrame, model: classifiers.Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, that are not predicted toxic."""
+    return classifiers.below(docs, model, threshold)
