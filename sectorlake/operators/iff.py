@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.types import StructType
 
 
@@ -117,7 +117,7 @@ def describe(data: bytes) -> str:
     return f"{out} {p.colours} colours" if p.colours else f"{out}palette with {len(p.palette)} colours"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def inspect_udf(contents: pa.Array) -> pa.Array:
     def one(data: bytes | None) -> str | None:
         try:

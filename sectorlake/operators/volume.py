@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from sectorlake.functions import binary as b, blocks
 from sectorlake.functions.blocks import SECTOR
@@ -73,7 +73,7 @@ def bitmap(disks: DataFrame) -> DataFrame:
     return bits.select("disk_id", "blk_idx", at.alias("bit_idx"), (2 + F.col("blk_idx") * blocks.BITMAP_BITS + at).cast("int").alias("sector"), F.expr("CAST(bit_get(value, bit) AS INT)").alias("free"))
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _pointers_udf(contents: pa.Array) -> pa.Array:
     out = []
     for c in contents:
