@@ -62,8 +62,17 @@ def u32(data: Column, offset, little: bool = False) -> Column:
     return unsigned(data, offset, 4, little)
 
 
+def hex_parts(data: Column, size: int) -> Column:
+    """Pieces of ``size`` bytes as hexadecimal text; the data is evaluated once, whatever is done with the pieces."""
+    return F.regexp_extract_all(F.hex(data), F.lit(f"(.{{{2 * size}}})"), F.lit(1))
+
+
+def _value(text: Column) -> Column:
+    return F.conv(text, 16, 10).cast("bigint")
+
+
 def u32_array(data: Column, offset: int, count: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: u32(data, offset + i * 4))
+    return F.transform(hex_parts(read_bytes(data, offset, 4 * count), 4), _value)
 
 
 def latin1(data: Column, offset, count) -> Column:
@@ -117,33 +126,26 @@ def filled(count: int, value: int = 0) -> Column:
 
 def checksum(data: Column, ignore: int = 20, words: int = 128) -> Column:
     """The negated 32-bit sum of a sector's words, without the word at byte ``ignore`` (-1: with all)."""
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(words - 1)), F.lit(0).cast("bigint"), lambda acc, i: acc + F.when(i * 4 == ignore, F.lit(0).cast("bigint")).otherwise(F.coalesce(u32(data, i * 4), F.lit(0).cast("bigint"))))
-    return F.pmod(-total, F.lit(U32 + 1))
+    zero = F.lit(0).cast("bigint")
+    values = F.transform(hex_parts(F.substring(data, 1, 4 * words), 4), lambda x, i: F.when(i * 4 == ignore, zero).otherwise(_value(x)))
+    return F.pmod(-F.aggregate(values, zero, lambda acc, x: acc + x), F.lit(U32 + 1))
 
 
 def additive16(data: Column) -> Column:
     """The 16-bit sum of all bytes."""
-    size = F.octet_length(data)
-    total = F.aggregate(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), F.lit(0).cast("bigint"), lambda acc, i: acc + F.coalesce(u8(data, i - 1), F.lit(0).cast("bigint")))
-    return total.bitwiseAND(65535)
+    return F.aggregate(hex_parts(data, 1), F.lit(0).cast("bigint"), lambda acc, x: acc + _value(x)).bitwiseAND(65535)
 
 
 def crc16(data: Column) -> Column:
     """CRC-16 with the reflected polynomial 0xA001 and a start of 0."""
     shift = lambda c: F.call_function("shiftright", c, F.lit(1))
-
-    def step(acc: Column, i: Column) -> Column:
-        start = acc.bitwiseXOR(F.coalesce(u8(data, i - 1), F.lit(0).cast("bigint")))
-        turn = lambda c, _: F.when(c.bitwiseAND(1) == 1, shift(c).bitwiseXOR(0xA001)).otherwise(shift(c))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, turn)
-
-    size = F.octet_length(data)
-    return F.when(size == 0, F.lit(0).cast("bigint")).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), F.lit(0).cast("bigint"), step))
+    turn = lambda c, _: F.when(c.bitwiseAND(1) == 1, shift(c).bitwiseXOR(0xA001)).otherwise(shift(c))
+    step = lambda acc, x: F.aggregate(F.sequence(F.lit(1), F.lit(8)), acc.bitwiseXOR(_value(x)), turn)
+    return F.aggregate(hex_parts(data, 1), F.lit(0).cast("bigint"), step)
 
 
 def name_hash(name: Column, slots: int = 72) -> Column:
     """The hash-table slot of a name: over its upper-case characters, h = (h * 13 + code) & 0x7ff, from h = length."""
     upper = F.upper(name)
-    codes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(upper), F.lit(1))), lambda i: F.ascii(F.substring(upper, i, F.lit(1))).cast("bigint"))
-    h = F.aggregate(codes, F.length(upper).cast("bigint"), lambda acc, c: (acc * 13 + c).bitwiseAND(0x7FF))
-    return F.when(F.length(upper) == 0, F.lit(0).cast("bigint")).otherwise(h % slots)
+    step = lambda acc, c: (acc * 13 + F.ascii(c)).bitwiseAND(0x7FF)
+    return F.aggregate(F.regexp_extract_all(upper, F.lit("(?s)(.)"), F.lit(1)), F.length(upper).cast("bigint"), step) % slots

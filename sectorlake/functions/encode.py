@@ -10,8 +10,8 @@ from sectorlake.functions.blocks import FILE_TYPE, POINTERS, SECTOR
 
 def _longs(values: Column, count: int) -> Column:
     """``count`` longs from an array; missing ones are zero."""
-    at = lambda i: F.lpad(F.hex(F.coalesce(F.get(values, i), F.lit(0)).cast("bigint")), 8, "0")
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), at), ""))
+    text = F.array_join(F.transform(values, lambda x: F.lpad(F.hex(F.coalesce(x, F.lit(0)).cast("bigint")), 8, "0")), "")
+    return F.unhex(F.rpad(F.substring(F.coalesce(text, F.lit("")), 1, 8 * count), 8 * count, "0"))
 
 
 def _long(value) -> Column:

@@ -64,14 +64,10 @@ def hex_byte(value: Column) -> Column:
     return F.lpad(F.hex(value.cast("bigint")), 2, "0")
 
 
-def _lines(data: Column, width: int) -> Column:
-    n = F.ceil(F.octet_length(data) / width).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substring(data, i * width + 1, F.lit(width)))).otherwise(F.array().cast("array<binary>"))
-
-
 def hex_lines(data: Column, width: int = 16) -> Column:
     """An array of lines of two-digit bytes."""
-    return F.transform(_lines(data, width), lambda part: F.trim(F.regexp_replace(F.hex(part), "(..)", "$1 ")))
+    parts = F.regexp_extract_all(F.hex(data), F.lit(f"(.{{1,{2 * width}}})"), F.lit(1))
+    return F.transform(parts, lambda part: F.trim(F.regexp_replace(part, "(..)", "$1 ")))
 
 
 def hex_dump(data: Column, width: int = 16) -> Column:
@@ -80,9 +76,11 @@ def hex_dump(data: Column, width: int = 16) -> Column:
 
 def ascii_dump(data: Column, width: int = 16, spaced: bool = True) -> Column:
     """Latin-1 characters, spaced and in lines, or as they are."""
+    text = F.decode(data, "ISO-8859-1")
     if not spaced:
-        return F.decode(data, "ISO-8859-1")
-    return F.array_join(F.transform(_lines(data, width), lambda part: F.regexp_replace(F.decode(part, "ISO-8859-1"), "(?s)(.)", "$1 ")), "\n")
+        return text
+    parts = F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{width}}})"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda part: F.regexp_replace(part, "(?s)(.)", "$1 ")), "\n")
 
 
 def article(info: Column) -> Column:

@@ -64,9 +64,10 @@ def _bitmap_pointers(disks: DataFrame) -> DataFrame:
 
 def bitmap(disks: DataFrame) -> DataFrame:
     """(disk_id, blk_idx, bit_idx, sector, free): one row for each bit of each bitmap block."""
-    found = disks.where("reject_reason IS NULL").select("disk_id", "content", "sector_count", _pointers_udf(F.col("content")).alias("block_list"))
-    one = found.select("disk_id", "content", F.posexplode("block_list").alias("blk_idx", "block"))
-    longs = one.where("block > 0").select("disk_id", "blk_idx", b.u32_array(F.substring("content", F.col("block") * SECTOR + 1, F.lit(SECTOR)), 4, 127).alias("longs"))
+    found = disks.where("reject_reason IS NULL").select("disk_id", "content", _pointers_udf(F.col("content")).alias("at"))
+    maps = F.transform("at", lambda p: F.when(p > 0, F.substring("content", p * SECTOR + 1, F.lit(SECTOR))))
+    one = found.select("disk_id", F.posexplode(maps).alias("blk_idx", "data")).where("data IS NOT NULL")
+    longs = one.select("disk_id", "blk_idx", b.u32_array(F.col("data"), 4, 127).alias("longs"))
     words = longs.select("disk_id", "blk_idx", F.posexplode("longs").alias("word", "value"))
     bits = words.select("disk_id", "blk_idx", "word", "value", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit"))
     at = (F.col("word") * 32 + F.col("bit")).cast("int")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sectorlake.functions.blocks import FFS_PAYLOAD, OFS_PAYLOAD, POINTERS
-from sectorlake.functions.image import Image, ImageError
+from sectorlake.functions.image import Image, ImageError, blank
 
 _REQUEST = ["seq", "op", "path", "name", "content"]
 
@@ -94,3 +94,15 @@ def block_need_compat(size: Column, ffs: Column) -> Column:
     data = F.ceil(size / F.when(ffs, FFS_PAYLOAD).otherwise(OFS_PAYLOAD))
     heads = F.ceil(data / POINTERS)
     return F.struct(data.alias("data_blocks"), heads.alias("header_blocks"), (data + heads).alias("total"))
+
+
+def format_images(spec: DataFrame) -> DataFrame:
+    """spec: (disk_id, sectors int, label string, ffs boolean).  (disk_id, content) of formatted, empty images."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                disk, sectors, label, ffs = (c[k].as_py() for c in batch.columns)
+                yield pa.RecordBatch.from_arrays([pa.array([disk]), pa.array([bytes(blank(sectors, label or "", bool(ffs)))], pa.binary())], names=["disk_id", "content"])
+
+    return spec.select("disk_id", "sectors", "label", "ffs").mapInArrow(run, "disk_id string, content binary")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from sectorlake.functions import binary as b, formats as f
 from sectorlake.operators import catalogue, detect
 from sectorlake.plans.prefix import running_sum
+from sectorlake.sources.images import cut_sectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,9 +66,8 @@ def bucket_load(spark, sf_dir):
 
 def _blocks(docs: DataFrame, payload: int) -> DataFrame:
     n = F.ceil(F.octet_length("content") / payload).cast("int")
-    cut = docs.select("doc_id", content().alias("content")).where(F.octet_length("content") > 0)
-    cut = cut.select("doc_id", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
-    return cut.select("doc_id", "seq", F.substring("content", F.col("seq") * payload + 1, F.lit(payload)).alias("data"))
+    held = docs.select("doc_id", content().alias("content")).where(F.octet_length("content") > 0)
+    return held.select("doc_id", F.posexplode(cut_sectors(F.col("content"), n, payload)).alias("seq", "data"))
 
 
 def _blocks_sql(payload: int) -> str:
@@ -121,9 +121,8 @@ def first_fit_sectors(spark, sf_dir):
     FROM (SELECT page_id, sector, rpad(substr(h, sector * 1024 + 1, 1024), 1024, '0') AS d FROM (SELECT page_id, hex(encode(html)) AS h, unnest(range(CAST(ceil(octet_length(encode(html)) / 512.0) AS BIGINT))) AS sector FROM pages))""")
 def sector_checksum(spark, sf_dir):
     raw = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("d")).where(F.octet_length("d") > 0)
-    cut = raw.select("page_id", "d", F.explode(F.sequence(F.lit(0), F.ceil(F.octet_length("d") / 512).cast("int") - 1)).alias("sector"))
-    data = F.rpad(F.substring("d", F.col("sector") * 512 + 1, F.lit(512)), 512, F.lit(b"\0"))
-    return cut.select("page_id", "sector", b.checksum(data).alias("checksum"))
+    cut = raw.select("page_id", F.posexplode(cut_sectors(F.col("d"), F.ceil(F.octet_length("d") / 512).cast("int"))).alias("sector", "part"))
+    return cut.select("page_id", "sector", b.checksum(F.rpad("part", 512, F.lit(b"\0"))).alias("checksum"))
 
 
 _BYTES = "list_transform(range(octet_length(encode({0}))), lambda i: CAST('0x' || substr(hex(encode({0})), i * 2 + 1, 2) AS BIGINT))"
@@ -302,3 +301,59 @@ def overlay_write(spark, sf_dir):
 def empty_folder(spark, sf_dir):
     children = table(spark, sf_dir, "customer").where("c_acctbal > 9990").select(F.col("c_nationkey").alias("n_nationkey"))
     return table(spark, sf_dir, "nation").join(children, "n_nationkey", "left_anti").select("n_nationkey", "n_name")
+
+
+# Images made of the documents: every 64 doc_ids of a language are an image, with a folder for each source.
+_IMAGE_SQL = "SELECT doc_id, lang || '-' || doc_id // 64 AS disk_id, source, doc_id // 64 % 2 = 1 AS ffs, octet_length(encode(text)) AS size, text FROM documents"
+_NEED = "CAST(ceil(size / CASE WHEN ffs THEN 512.0 ELSE 488.0 END) AS BIGINT)"
+
+
+def _image_files(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    group = F.expr("doc_id DIV 64")
+    return docs.select("doc_id", F.concat_ws("-", "lang", group.cast("string")).alias("disk_id"), "source", (group % 2 == 1).alias("ffs"), content().alias("content"))
+
+
+def _written_images(spark, sf_dir) -> DataFrame:
+    from sectorlake.operators import write
+    from sectorlake.sources.images import described
+
+    held = _image_files(spark, sf_dir)
+    need = write.block_need(F.octet_length("content"), F.col("ffs"))["total"]
+    size = F.sum(need) + F.countDistinct("source")
+    spec = held.groupBy("disk_id", "ffs").agg((size + F.floor(size / 2000) * 2 + 16).alias("n"))
+    spec = spec.select("disk_id", (F.col("n") + F.col("n") % 2).cast("int").alias("sectors"), F.col("disk_id").alias("label"), "ffs")
+    folders = held.select("disk_id", F.lit(0).cast("bigint").alias("seq"), F.lit("mkdir").alias("op"), F.lit("").alias("path"), F.col("source").alias("name"), F.lit(None).cast("binary").alias("content")).distinct()
+    files = held.select("disk_id", (F.col("doc_id") + 1).alias("seq"), F.lit("write").alias("op"), F.col("source").alias("path"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), "content")
+    return described(write.apply(write.format_images(spec), folders.unionByName(files)).select("disk_id", "content"))
+
+
+@query(f"SELECT disk_id, source || '/doc' || doc_id AS path, size, md5(text) AS md5 FROM ({_IMAGE_SQL})")
+def image_files(spark, sf_dir):
+    """Documents written to images as files, and read back."""
+    from sectorlake.operators import volume
+
+    return volume.files(_written_images(spark, sf_dir)).select("disk_id", "path", "size", F.md5("content").alias("md5"))
+
+
+@query(f"""
+    WITH need AS (SELECT disk_id, source, {_NEED} AS data FROM ({_IMAGE_SQL})),
+    used AS (SELECT disk_id, CAST(sum(data + greatest(1, CAST(ceil(data / 72.0) AS BIGINT))) + count(DISTINCT source) AS BIGINT) AS blocks FROM need GROUP BY 1),
+    made AS (SELECT disk_id, blocks, (blocks + blocks // 2000 * 2 + 16 + 1) // 2 * 2 AS sectors FROM used)
+    SELECT disk_id, sectors * 512 AS total_size, sectors - 2 - 1 - CAST(ceil((sectors - 2) / 4064.0) AS BIGINT) - blocks AS free_blocks FROM made""")
+def image_space(spark, sf_dir):
+    """The space left on these images."""
+    from sectorlake.operators import volume
+
+    return volume.free_size(_written_images(spark, sf_dir), strict=True).select("disk_id", "total_size", "free_blocks")
+
+
+@query(f"SELECT disk_id, source AS folder, 'doc' || doc_id AS name, {HASH_SQL.replace('p_name', '(chr(100) || chr(111) || chr(99) || doc_id)')} AS bucket FROM ({_IMAGE_SQL})")
+def image_listing(spark, sf_dir):
+    """The entries of these images' folders with the slots they hang on."""
+    from sectorlake.operators import volume
+
+    entries = volume.dir_entries(_written_images(spark, sf_dir))
+    folders = entries.where("type_string = 'DIR'").select("disk_id", F.col("sector").alias("dir_sector"), F.col("name").alias("folder"))
+    files = entries.where("type_string = 'FILE'").select("disk_id", "dir_sector", "name", F.col("bucket").cast("bigint").alias("bucket"))
+    return files.join(folders, ["disk_id", "dir_sector"]).select("disk_id", "folder", "name", "bucket")

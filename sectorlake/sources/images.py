@@ -18,7 +18,7 @@ TRACK, CYLINDER = 11, 22
 def images(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """(disk_id, path, length, content, sector_count, root_sector, md5, reject_reason) of every file under a path.
 
-    A file that is no image keeps its row, with the reason; nothing fails the job.
+    A file that is no image keeps its row, with the reason; nothing fails the job.  Spark lists no empty files.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
@@ -48,10 +48,15 @@ def reject_reason(content: Column, count: Column, root: Column, whole: Column) -
     )
 
 
+def cut_sectors(content: Column, count: Column, size: int = SECTOR) -> Column:
+    """The array of an image's sectors.  Exploding it keeps rows small: the image itself is not repeated beside each."""
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.substring(content, k * size + 1, F.lit(size)))
+
+
 def sectors(disks: DataFrame) -> DataFrame:
     """(disk_id, sector, data) of every whole sector; no shuffle."""
-    cut = disks.where(F.col("sector_count") > 0).select("disk_id", "content", F.explode(F.sequence(F.lit(0), F.col("sector_count") - 1)).alias("sector"))
-    return cut.select("disk_id", "sector", F.substring("content", F.col("sector") * SECTOR + 1, F.lit(SECTOR)).alias("data"))
+    some = disks.where(F.col("sector_count") > 0)
+    return some.select("disk_id", F.posexplode(cut_sectors(F.col("content"), F.col("sector_count"))).alias("sector", "data"))
 
 
 def large_sectors(spark: SparkSession, path: str) -> DataFrame:
