@@ -136,10 +136,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col
     # at most sample_rows rows of two numbers: the documents stay where they are
     joined = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(few), id_col)
     got = joined.select("_y", "_text").mapInArrow(run, "y int, terms binary, shape binary").toArrow()
-    order = sorted(range(got.num_rows), key=lambda i: (raw := got["terms"][i].as_py(), got["y"][i].as_py()) and (raw[:16], len(raw), got["y"][i].as_py()))
-    y = np.array(got["y"].to_pylist(), float)[order] if order else np.empty(0)
-    sets = [np.frombuffer(got["terms"][i].as_py(), np.uint32) for i in order]
-    shape = np.array([np.frombuffer(got["shape"][i].as_py()) for i in order])
+    held = list(zip(*(got[c].to_pylist() for c in ("terms", "shape", "y")), strict=True))
+    order = sorted(range(len(held)), key=held.__getitem__)  # the fit does not depend on how the rows came in
+    y = np.array([held[i][2] for i in order], float)
+    sets = [np.frombuffer(held[i][0], np.uint32) for i in order]
+    shape = np.array([np.frombuffer(held[i][1]) for i in order])
     return y, sets, shape
 
 
