@@ -222,9 +222,9 @@ def datestamp_encode(spark, sf_dir):
     return _datestamps(spark, sf_dir)
 
 
-@query(f"SELECT event_id, TIMESTAMP '1978-01-01' + to_days(CAST(days AS INTEGER)) + to_minutes(minutes) + to_microseconds(ticks * 20000) AS at FROM ({_STAMP_SQL})")
+@query(f"SELECT event_id, TIMESTAMP '1978-01-01' + to_days(CAST(days AS INTEGER)) + to_minutes(minutes) + to_microseconds(ticks * 20000) AS changed_at FROM ({_STAMP_SQL})")
 def datestamp_decode(spark, sf_dir):
-    return _datestamps(spark, sf_dir).select("event_id", f.timestamp(F.col("days"), F.col("minutes"), F.col("ticks")).alias("at"))
+    return _datestamps(spark, sf_dir).select("event_id", f.timestamp(F.col("days"), F.col("minutes"), F.col("ticks")).alias("changed_at"))
 
 
 @query("""
