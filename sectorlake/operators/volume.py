@@ -213,3 +213,18 @@ def paths(nodes: DataFrame, levels: int) -> DataFrame:
         level = nodes.join(above, "parent").select("id", F.concat_ws("/", "above", "name").alias("path"), F.lit(depth).alias("depth"))
         out = out.unionByName(level)
     return out
+
+
+def sector_dump(disks: DataFrame, sector: int) -> DataFrame:
+    """(disk_id, sector, hex, ascii) of one sector of each image; a number outside the image is held inside it."""
+    from sectorlake.functions.formats import ascii_dump, hex_dump
+
+    some = disks.where("sector_count > 0").withColumn("sector", b.clamp(sector, F.col("sector_count")).cast("int"))
+    data = F.substring("content", F.col("sector") * SECTOR + 1, F.lit(SECTOR))
+    return some.select("disk_id", "sector", data.alias("data")).select("disk_id", "sector", hex_dump(F.col("data")).alias("hex"), ascii_dump(F.col("data")).alias("ascii"))
+
+
+def display_path(info: DataFrame, entries: DataFrame, compat: bool = False) -> DataFrame:
+    """entries: (disk_id, path, ...) as of ``tree``.  Adds ``shown``: the label and the path, or (compat) only its last name."""
+    name = F.element_at(F.split("path", "/"), -1) if compat else F.col("path")
+    return entries.join(info.select("disk_id", "label"), "disk_id").withColumn("shown", F.concat_ws("/", "label", name)).drop("label")

@@ -169,3 +169,27 @@ def test_scalars(spark):
     from sectorlake.functions.image import name_slot
 
     assert tuple(r) == (archive.crc16(x), archive.additive(x), 0, 0, name_slot("abc"))
+
+
+def test_dump_paths_and_command_line(disks, content, folder, tmp_path, capsys):
+    d = volume.sector_dump(disks.where("disk_id = 'ofs'"), 99999).first()
+    assert d.sector == 1759 and d.hex.startswith("00 00") and len(d.hex.split("\n")) == 32
+    assert volume.sector_dump(disks.where("disk_id = 'ofs'"), 0).first().ascii.startswith("D O S ")
+    shown = {r.shown for r in volume.display_path(volume.disk_info(disks), volume.tree(disks)).collect()}
+    assert "Work/sub/deep/pic" in shown and "Fast/readme" in shown
+    assert "Work/pic" in {r.shown for r in volume.display_path(volume.disk_info(disks), volume.tree(disks), compat=True).collect()}
+    from sectorlake.__main__ import main
+
+    assert main(["nonsense"]) == 2 and main(["extract", str(folder)]) == 2
+    for command in ("info", "list", "types", "md5"):
+        assert main([command, str(folder)]) == 0
+    assert "sub/deep/pic" in capsys.readouterr().out
+    assert main(["extract", str(folder), str(tmp_path / "x")]) == 0
+    assert (tmp_path / "x" / "ofs.adf_readme").read_bytes() == b"hello"
+
+
+def test_empty_table_of_images(spark, disks):
+    none = disks.where("false")
+    assert volume.disk_info(none).count() == volume.files(none).count() == volume.bitmap(none).count() == src.sectors(none).count() == 0
+    assert volume.empty_folders(disks).count() == 0 and volume.chain_predecessor(disks, volume.dir_entries(disks, 0).select("disk_id", "sector")).where("predecessor IS NOT NULL").count() == 0
+    assert volume.is_empty(disks, spark.createDataFrame([("ofs", 0), ("ofs", 880), ("ofs", 3), ("ofs", 99999), ("ofs", 1500)], "disk_id string, sector int")).where("empty").count() == 1
