@@ -7,9 +7,9 @@ signature: two sets agree in a coordinate with the probability of their (weighte
 K ln K darts are thrown however large the set.  Weights are 1 here (plain Jaccard); ``signatures`` takes any.
 
 Equal word sequences are one class before anything is joined.  Signatures are cut into bands; in a bucket of one band
-value the least class is the centre and is compared with the others exactly (a star, so pairs grow with rows).  While
-a bucket holds classes that no links join, its next centre is compared with the rest; after ``ROUNDS`` rounds every
-pair of a bucket that is still apart is compared, in blocks.  So each pair of texts that shares a band value is either
+value the least class is the centre and is compared with the others exactly (a star, so pairs grow with rows).  What no
+link joins in a bucket then is compared in blocks: the bucket is cut into tiles of bounded size, and each pair of tiles is
+one group of work that returns no more links than it has rows.  So each pair of texts that shares a band value is either
 compared or joined by other links: banding alone can miss a link (0.007 % of those at the threshold), the search none.
 
 Defined cases: a null text is an empty text; texts without words are copies of each other; texts of one to four words
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sectorlake.llm.components import components
+from sectorlake.llm.components import components, least_reached
 from sectorlake.llm.docstats import again
 from sectorlake.llm.session import Stored, cut
 from sectorlake.llm.textcore import U64, SpanHasher, chunks, mix, row_bounds, shingles, word_spans
@@ -36,7 +36,7 @@ WORDS = 5
 BANDS, ROWS = 24, 5
 K = BANDS * ROWS
 DARTS = int(K * (np.log(K) + 3))  # expected; a set with an empty coordinate throws twice as many
-ROUNDS = 3
+TILE = 192  # classes in a tile
 _C = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -164,56 +164,101 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
             yield found[a:b]
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(id, text_hash, class_id, kept) of every row with an id, and the links (a, b) between classes of equal texts."""
+def tile_links(sets: list[np.ndarray], part: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs, of different parts, of sets with at least the threshold's similarity."""
+    n, size = len(sets), np.array([len(s) for s in sets])
+    names, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), size)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    row, column = row[shared[column]], number[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((n, n), np.float32)  # whole numbers below 2 ** 24 a block
+    total = np.zeros((n, n), np.int64)
+    width = max(64, (1 << 20) // n)
+    cuts = np.searchsorted(column, np.arange(0, int(shared.sum()) + width, width))
+    for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        block = np.zeros((n, width), np.float32)
+        block[row[lo:hi], column[lo:hi] - k * width] = 1
+        np.matmul(block, block.T, out=common)
+        total += common.astype(np.int64)
+    good = total * threshold[1] >= threshold[0] * (size[:, None] + size[None, :] - total)
+    return np.nonzero(np.triu(good & (part[:, None] != part[None, :]), 1))
+
+
+def blocks(left: DataFrame, texts: DataFrame, threshold: tuple[int, int] = THRESHOLD, tile: int = TILE) -> DataFrame:
+    """left: (bucket, key, part), buckets that hold several parts; texts: (key, text).  Links (a, b) that join what the links
+    between different parts of a bucket join."""
+    # buckets with the same members are compared once
+    named = left.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("s"))
+    once = cut(named.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / tile).cast("int").alias("tiles")))
+    own = left.join(once, "bucket").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("bucket", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "key", "part")
+    group = ["bucket", "lo", "hi"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, keys, parts, now = [], [], [], None
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            if len(set(parts)) > 1:
+                i, j = tile_links(held, np.array(parts), threshold)
+                label = least_reached(len(held), i, j)
+                key = np.array(keys)
+                to = np.flatnonzero(label != np.arange(len(held)))
+                yield pa.RecordBatch.from_arrays([pa.array(key[to]), pa.array(key[label[to]])], names=["a", "b"])
+
+        for batch in batches:
+            names = list(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True))
+            for name, key, part, own_set in zip(names, batch.column(3).to_pylist(), batch.column(4).to_pylist(), _sets(batch.column(5)), strict=True):
+                if name != now:
+                    yield from settle()
+                    held, keys, parts, now = [], [], [], name
+                held.append(own_set.copy())
+                keys.append(key)
+                parts.append(part)
+        yield from settle()
+
+    return dealt.join(texts, "key").select(*group, "key", "part", "text").repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a bigint, b bigint")
+
+
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """(id, text_hash, class_id, kept) of every row with an id."""
     rows = cut(signed(docs, id_col, text_col))
     same = rows.groupBy("hi", "lo").agg(F.min(F.struct("id", "text_hash")).alias("least"), F.first("bands").alias("bands"))
     classes = cut(same.select(F.monotonically_increasing_id().alias("key"), "hi", "lo", "least", "bands"))
     spread = classes.select("key", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("key").alias("centre"), F.max("key").alias("last")).where("centre < last").select("bucket", "centre")
+    # tables of buckets are cut before they are joined: a join of two plain tables can be split where one bucket is hot
+    shared = cut(spread.groupBy("bucket").agg(F.min("key").alias("centre"), F.max("key").alias("last")).where("centre < last").select("bucket", "centre"))
     members = cut(spread.join(shared, "bucket").where("key != centre").select("bucket", "centre", "key"))
     wanted = members.select("key").union(members.select(F.col("centre").alias("key"))).distinct()
     wanted = wanted.join(classes.select("key", "least.*"), "key")
     texts = Stored(_rows(docs, id_col, text_col).join(wanted, ["id", "text_hash"]).groupBy("key").agg(F.min("text").alias("text")))
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        """pairs: (a, b), distinct; a is the one that many share."""
-        one = pairs.join(texts.df.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-        both = one.join(texts.df.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-        return cut(similar(both, threshold))
-
-    links = checked(members.select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct())
-    joined = cut(components(links))
-    left = members
-    for turn in range(ROUNDS + 1):
-        left = left.join(joined.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("part"))
-        apart = left.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.min("key").alias("centre")).where("x < y").select("bucket", "centre")
-        left = cut(left.join(apart, "bucket").select("bucket", "centre", "key", "part"))
-        if left.isEmpty():
-            break
-        if turn < ROUNDS:
-            own = left.where("key = centre").select("bucket", F.col("part").alias("own"))
-            pairs = left.where("key != centre").join(own, "bucket").where("part != own").select(F.col("centre").alias("a"), F.col("key").alias("b"))
-            left = left.where("key != centre").select("bucket", "key")
-        else:
-            x, y = (left.select("bucket", F.col("key").alias(k), F.col("part").alias(f"part_{k}")) for k in "ab")
-            pairs = x.join(y, "bucket").where("a < b AND part_a != part_b").select("a", "b")
-        links = links.unionByName(checked(pairs.distinct()))
-        joined = cut(components(links))
+    pairs = members.select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
+    one = pairs.join(texts.df.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    both = one.join(texts.df.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
+    links = cut(similar(both, threshold))
+    joined = components(links)
+
+    left = cut(members.join(joined.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("part")))
+    apart = cut(left.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("bucket"))
+    more = cut(blocks(left.join(apart, "bucket"), texts.df, threshold))
     texts.drop()
+    joined = components(links.unionByName(more))
+
     part = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").select("hi", "lo", "least", F.coalesce("component", "key").alias("part"))
-    least = part.groupBy("part").agg(F.min("least").alias("first"))
-    named = part.join(least, "part").select("hi", "lo", "first")
+    first = cut(part.groupBy("part").agg(F.min("least").alias("first")))
+    named = cut(part.join(first, "part").select("hi", "lo", "first"))
     out = rows.select("id", "text_hash", "hi", "lo").join(named, ["hi", "lo"])
     kept = (F.col("id") == F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    name = classes.select("key", F.col("least.id").alias("id"))
-    shown = links.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return out.select("id", "text_hash", F.col("first.id").alias("class_id"), kept.alias("kept")), shown
+    return out.select("id", "text_hash", F.col("first.id").alias("class_id"), kept.alias("kept"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, class_id (the least id of the row's group of near-duplicates), kept (the group's first)."""
-    found, _ = classify(docs, id_col, text_col)
+    found = classify(docs, id_col, text_col)
     without = docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("class_id"), F.lit(True).alias("kept"))
     return found.select("id", "class_id", "kept").unionByName(without).withColumnRenamed("id", id_col)
 
@@ -221,7 +266,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that stay: one of each group; repeated rows of one id and text count once."""
     columns = docs.columns
-    found, _ = classify(docs, id_col, text_col)
+    found = classify(docs, id_col, text_col)
     first = found.where("kept").groupBy("id", "text_hash").agg(F.count("*").alias("times"))
     text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     tagged = docs.select(F.struct(*columns).alias("row"), F.col(id_col).cast("bigint").alias("id"), text.alias("text_hash"))
