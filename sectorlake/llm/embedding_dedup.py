@@ -8,7 +8,7 @@ product of the suffix norms cannot reach the threshold for a pair, the pair is d
 none is left.  What survives is decided by the cosine of the vectors as given, in double precision.
 
 Equal vectors of one label are one vector with a multiplicity before anything is compared.  A pair of tiles returns one
-row for each vector that links there: its number of links and the least vector of its part of the tile pair, so rows
+row for each vector that links there: its number of links and one vector of its part of the tile pair, so rows
 grow with vectors and tiles, not with links.
 
 Defined cases: a vector that is null, empty, all zero, or holds a null or non-finite component links with nothing, and
@@ -25,9 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from sectorlake.llm.components import components
+from sectorlake.llm.components import components, least_reached
 from sectorlake.llm.session import cut
 
 THRESHOLD = 0.93
@@ -38,8 +38,8 @@ BLOCK = 16  # dimensions gathered at a step
 _SLACK = 1e-9  # of bounds in floating point; the decision itself has none
 
 
-def usable(vector) -> "F.Column":
-    return F.size(vector).__gt__(0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vector, lambda x: x != 0)
+def usable(vector: Column) -> Column:
+    return (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vector, lambda x: x != 0)
 
 
 def axes(vectors: DataFrame) -> dict[int, np.ndarray]:
@@ -148,18 +148,6 @@ def compare(a: np.ndarray, b: np.ndarray | None, rotation: np.ndarray, threshold
     return cat(found_i), cat(found_j)
 
 
-def _least_reached(n: int, i: np.ndarray, j: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """For each of n nodes the least key that the links (i, j) reach."""
-    label = key.copy()
-    while True:
-        new = label.copy()
-        np.minimum.at(new, i, label[j])
-        np.minimum.at(new, j, label[i])
-        if (new == label).all():
-            return label
-        label = new
-
-
 def link(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """vectors: (key bigint, label, vector array<double|float>, weight bigint), usable ones, one row for each key.
 
@@ -199,7 +187,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) ->
         weight = np.concatenate([one["weight"], two["weight"]]).astype(np.int64)
         links = np.bincount(i, weight[j], len(key)) + np.bincount(j, weight[i], len(key))
         some = np.flatnonzero(links)
-        return pd.DataFrame({"key": key[some], "links": links[some].astype(np.int64), "anchor": _least_reached(len(key), i, j, key)[some]})
+        return pd.DataFrame({"key": key[some], "links": links[some].astype(np.int64), "anchor": key[least_reached(len(key), i, j)[some]]})
 
     found = cut(dealt.groupBy("label", "size", "work").applyInPandas(run, "key bigint, links bigint, anchor bigint"))
     return found.groupBy("key").agg(F.sum("links").alias("links")), found.select(F.col("key").alias("a"), F.col("anchor").alias("b"))
