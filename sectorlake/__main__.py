@@ -11,10 +11,12 @@ def main(args: list[str]) -> int:
         return 2
     from pyspark.sql import SparkSession, functions as F
 
+    from sectorlake import ship
     from sectorlake.operators import detect, volume
     from sectorlake.sources import images, sinks
 
     spark = SparkSession.builder.appName("sectorlake").getOrCreate()
+    ship(spark)
     disks = images.images(spark, args[1])
     if args[0] == "info":
         out = disks.select("disk_id", "reject_reason").join(volume.disk_info(disks), "disk_id", "left")
