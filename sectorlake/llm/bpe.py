@@ -10,6 +10,8 @@ share one array of trees, level by level; a long one has its own.
 from __future__ import annotations
 
 import base64
+import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -19,7 +21,7 @@ from sectorlake.llm.textcore import U64, mix
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 _INF = np.int64(1 << 62)
 _TREE_LIMIT = 64  # pairs; longer pretokens get a tree of their own
-_CACHE_LIMIT = 300_000  # pretokens that a worker remembers
+_CACHE_LIMIT = 500_000  # pretokens that a worker remembers
 
 
 def vocabulary(name: str) -> str:
@@ -145,27 +147,32 @@ class Bpe:
             tokens[r] = t
         return cls(MergeTable(*np.array(pairs, np.int64).T), np.array([ranks[bytes([b])] for b in range(256)]), tokens, ranks)
 
-    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """The ids of each piece."""
-        out: list[np.ndarray | None] = [None] * len(pieces)
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as little-endian unsigned 32-bit integers."""
+        out: list[bytes | None] = [None] * len(pieces)
+        if self.whole is not None:
+            out = [r if r is None else r.to_bytes(4, "little") for r in map(self.whole.get, pieces)]
         groups: dict[int, list[int]] = {}
-        for i, p in enumerate(pieces):
-            if self.whole is not None and (r := self.whole.get(p)) is not None:
-                out[i] = np.array([r], np.uint32)
-            elif len(p) < 2:
-                out[i] = self.byte_ids[np.frombuffer(p, np.uint8)].astype(np.uint32)
-            elif len(p) - 1 > _TREE_LIMIT:
-                out[i] = self._long(p)
+        for i, (p, n, done) in enumerate(zip(pieces, map(len, pieces), out, strict=True)):
+            if done is not None:
+                continue
+            if n < 2:
+                out[i] = self.byte_ids[np.frombuffer(p, np.uint8)].astype("<u4").tobytes()
+            elif n - 1 > _TREE_LIMIT:
+                out[i] = self._long(p).astype("<u4").tobytes()
             else:
-                groups.setdefault((len(p) - 2).bit_length(), []).append(i)
+                groups.setdefault((n - 2).bit_length(), []).append(i)
         for level, members in groups.items():
             for lo in range(0, len(members), 1 << 14):
                 some = members[lo : lo + (1 << 14)]
-                for i, ids in zip(some, self._trees([pieces[i] for i in some], level), strict=True):
-                    out[i] = ids
+                ids, count = self._trees([pieces[i] for i in some], level)
+                raw, end = ids.astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
+                for i, a, z in zip(some, [0, *end], end, strict=False):
+                    out[i] = raw[a:z]
         return out
 
-    def _trees(self, pieces: list[bytes], level: int) -> list[np.ndarray]:
+    def _trees(self, pieces: list[bytes], level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces end to end, and their numbers."""
         size, n = 1 << level, len(pieces)
         lengths = np.array([len(p) for p in pieces])
         width = size + 1
@@ -196,30 +203,29 @@ class Bpe:
             has_next = nxt < lengths[row]
             before[row[has_next], nxt[has_next]] = pos[has_next]
             has_prev = prev >= 0
-            self._point(tree, made, row, right, np.full(len(row), _INF), size, level)
-            self._pair(tree, made, symbol, row, pos, np.where(has_next, nxt, -1), size, level)
-            self._pair(tree, made, symbol, row[has_prev], prev[has_prev], pos[has_prev], size, level)
+            inside = right < size  # the last position starts no pair and has no leaf
+            tree[row[inside], right[inside] + size] = _INF
+            self._leaf(tree, made, symbol, row, pos, np.where(has_next, nxt, -1), size)
+            self._leaf(tree, made, symbol, row[has_prev], prev[has_prev], pos[has_prev], size)
+            # the three leaves' ancestors, level by level
+            rows = np.concatenate([row[inside], row[pos < size], row[has_prev]])
+            node = np.concatenate([right[inside], pos[pos < size], prev[has_prev]]) + size
+            for _ in range(level):
+                node >>= 1
+                tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
             row = row[tree[row, 1] < _INF]
-        ids = symbol[live].astype(np.uint32)
-        return np.split(ids, np.cumsum(live.sum(1))[:-1])
+        return symbol[live], live.sum(1)
 
-    def _pair(self, tree, made, symbol, row, left, right, size, level):
-        value = np.full(len(row), _INF)
+    def _leaf(self, tree, made, symbol, row, left, right, size):
+        """Set the leaf of the pair that starts at ``left``; right -1: there is none."""
         some = right >= 0
         r, p = row[some], left[some]
         rank, new = self.table.find(symbol[r, p], symbol[r, right[some]])
         made[r, p] = new
-        value[some] = np.where(rank >= 0, rank << 20 | p, _INF)
-        self._point(tree, made, row, left, value, size, level)
-
-    @staticmethod
-    def _point(tree, made, row, pos, value, size, level):
-        inside = pos < size  # the last position starts no pair and has no leaf
-        row, node, value = row[inside], pos[inside] + size, value[inside]
-        tree[row, node] = value
-        for _ in range(level):
-            node >>= 1
-            tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
+        tree[r, p + size] = np.where(rank >= 0, rank << 20 | p, _INF)
+        r, p = row[~some], left[~some]
+        inside = p < size
+        tree[r[inside], p[inside] + size] = _INF
 
     def _long(self, piece: bytes) -> np.ndarray:
         """One tree in plain lists: a logarithmic number of steps a merge, however long the piece."""
@@ -270,17 +276,12 @@ class Bpe:
         cache = self.cache
         missing = [w for w in words if w not in cache]
         if missing:
-            if len(cache) + len(missing) > _CACHE_LIMIT:
-                cache.clear()
-                missing = words
-            for w, ids in zip(missing, self.encode_words(missing), strict=True):
-                cache[w] = ids
+            if len(cache) + len(missing) > _CACHE_LIMIT:  # what this chunk uses stays
+                self.cache = cache = {w: got for w in words if (got := cache.get(w)) is not None}
+            cache.update(zip(missing, self.merge([w.encode() for w in missing]), strict=True))
         got = [cache[w] for w in words]
         return np.frombuffer(b"".join(got), np.uint32), np.array([len(g) >> 2 for g in got], np.int64)
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        return [ids.tobytes() for ids in self.merge([w.encode() for w in words])]
-
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts of a chunk end to end, and the offset of each text."""
         text = data.tobytes().decode()
@@ -327,29 +328,52 @@ def from_ranks(path: str) -> Bpe:
     return Bpe.from_ranks(path)
 
 
-class HubBpe(Bpe):
-    """The same gathering, with the pretokens that are not remembered encoded by the ``tokenizers`` library."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+class JsonBpe(Bpe):
+    """The same from a ``tokenizers`` file: only listed pairs merge, and strings of added tokens are cut out of a text before
+    the pattern applies."""
 
-        self.library = Tokenizer.from_file(path)
-        added = self.library.get_added_tokens_decoder()
-        self.added = {t.content: i for i, t in added.items()}
-        self.cache = {}
+    added: dict[str, int]
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+    @classmethod
+    def from_json(cls, path: str) -> "JsonBpe":
+        spec = json.load(open(path, encoding="utf-8"))
+        shown = {c: b for b, c in enumerate(_shown_bytes())}
+        vocab = {bytes(shown[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        raw = lambda t: bytes(shown[c] for c in t)
+        rows = [(vocab[raw(a)], vocab[raw(b)], k, vocab[raw(a) + raw(b)]) for k, (a, b) in enumerate(pairs)]
+        tokens = [b""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            tokens[i] = t
+        out = cls(MergeTable(*np.array(rows, np.int64).T), np.array([vocab[bytes([b])] for b in range(256)]), tokens, None)
+        out.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
-        if any(a.encode() in raw for a in self.added):  # such a string is cut out before the pattern applies
-            texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            ids = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.concatenate(ids), np.concatenate([[0], np.cumsum([len(i) for i in ids])])
-        return super().encode(data, offsets)
+        if not any(a.encode() in raw for a in self.added):
+            return super().encode(data, offsets)
+        cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        out: list[np.ndarray] = []
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            parts = []
+            for part in cut.split(raw[a:b].decode()):
+                if part in self.added:
+                    parts.append(np.array([self.added[part]], np.uint32))
+                elif part:
+                    own = np.frombuffer(part.encode(), np.uint8)
+                    parts.append(super().encode(own, np.array([0, len(own)]))[0])
+            out.append(np.concatenate(parts) if parts else np.empty(0, np.uint32))
+        return np.concatenate(out), np.concatenate([[0], np.cumsum([len(i) for i in out])])
+
+
+def _shown_bytes() -> list[str]:
+    """The character that stands for each byte in the file: itself if it is printable Latin-1, else the next one from 256 on."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in kept else chr(next(rest)) for b in range(256)]
 
 
 @lru_cache(4)
-def from_json(path: str) -> HubBpe:
-    return HubBpe(path)
+def from_json(path: str) -> JsonBpe:
+    return JsonBpe.from_json(path)
