@@ -157,15 +157,14 @@ def sequences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFr
 def overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """(id, text_hash, gone, sources): the numbers of the lines that go from each document that loses any, and the ids of
     the earlier documents that they stand in."""
-    known = Stored(sequences(docs, id_col, text_col, least))
+    # one row for each document, so that the joins below are of plain tables and can be split where one document is hot
+    known = Stored(sequences(docs, id_col, text_col, least).dropDuplicates(["id", "text_hash"]))
     doc = F.struct("id", "text_hash")
     held = known.df.select(doc.alias("doc"), F.explode("names").alias("name"))
-    firsts = held.groupBy("name").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("name", "first")
+    firsts = cut(held.groupBy("name").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("name", "first"))
     pairs = held.join(firsts, "name").where("first < doc").select("first", "doc").distinct()
     lines = lambda side: known.df.select(doc.alias(side), F.struct("lines", "words", "numbers").alias(f"{side}_lines"))
-    once = lambda side: lines(side).groupBy(side).agg(F.first(f"{side}_lines").alias(f"{side}_lines"))
-    later = pairs.join(once("doc"), "doc")
-    both = later.join(once("first"), "first")
+    both = pairs.join(lines("doc"), "doc").join(lines("first"), "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
