@@ -27,7 +27,9 @@ TERMS = 4096
 _BYTE = np.arange(256)
 _WORD = ((_BYTE | 32) >= 97) & ((_BYTE | 32) <= 122) | (_BYTE >= 128)
 _FOLD = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
-PREFIXES = (4, 5, 6)
+#: A term that a text holds so often is a feature of its own; the lower bits stay, so that one sieve finds all of a term's features.
+LEVELS = {2: 0x5A300000, 3: 0x9C600000, 5: 0xE1700000}
+_SIZE = 0x7E57  # of the features for the size of a text
 BINS = 16
 #: Structure statistics of a text: name -> (part, whole); sizes enter by their logarithm.
 SHAPES = {
@@ -47,7 +49,7 @@ SHAPES = {
 }
 
 
-def terms(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = PREFIXES) -> tuple[np.ndarray, np.ndarray]:
+def terms(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Row and 32-bit hash of every word (a run of letters, ASCII case folded) and of the first bytes of words with as many."""
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.uint32)
@@ -72,6 +74,17 @@ def terms(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = PRE
     return np.concatenate(found_rows), np.concatenate(found).astype(np.uint32)
 
 
+def leveled(rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, hash) of terms, with features for repeated terms and for the size of each text, by row.
+
+    sizes: the number of terms of each text."""
+    key, times = np.unique(rows.astype(np.uint64) << np.uint64(32) | hashes, return_counts=True)
+    found = [key] + [key[times >= n] ^ np.uint64(x) for n, x in LEVELS.items()]
+    found.append(np.arange(len(sizes), dtype=np.uint64) << np.uint64(32) | (np.log2(sizes + 1).astype(np.uint64) + np.uint64(_SIZE)))
+    key = np.unique(np.concatenate(found))
+    return (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 def shapes(s: dict[str, np.ndarray]) -> np.ndarray:
     return np.stack([f(s) for f in SHAPES.values()], 1)
 
@@ -80,6 +93,7 @@ def shapes(s: dict[str, np.ndarray]) -> np.ndarray:
 class Model:
     names: np.ndarray  # the chosen hashes, sorted
     machine: fm.Machine
+    prefixes: tuple[int, ...] = ()
     edges: np.ndarray | None = None  # bin edges of the shapes
     sieve: np.ndarray = field(init=False)
 
@@ -88,9 +102,10 @@ class Model:
         self.sieve[self.names & 0xFFFFF] = True
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows, hashes = terms(data, offsets)
+        rows, hashes = terms(data, offsets, self.prefixes)
+        sizes = np.bincount(rows, minlength=len(offsets) - 1)
         maybe = self.sieve[hashes & 0xFFFFF]
-        rows, hashes = rows[maybe], hashes[maybe]
+        rows, hashes = leveled(rows[maybe], hashes[maybe], sizes)
         at = np.searchsorted(self.names, hashes)
         hit = self.names[np.minimum(at, len(self.names) - 1)] == hashes if len(self.names) else np.zeros(len(at), bool)
         width = len(self.names) + 1
@@ -117,7 +132,7 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, sample_rows: int, structure: bool) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, sample_rows: int, structure: bool, prefixes: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Labels, distinct hashes and shapes of the labelled sample."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col))
     few = usable.groupBy(id_col).agg(F.max(label).cast("int").alias("_y")).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
@@ -125,10 +140,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
-                rows, hashes = terms(data, offsets)
-                key = np.unique(rows.astype(np.uint64) << np.uint64(32) | hashes)
-                cut = np.searchsorted(key >> np.uint64(32), np.arange(hi - lo + 1))
-                raw = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                rows, hashes = terms(data, offsets, prefixes)
+                rows, raw = leveled(rows, hashes, np.bincount(rows, minlength=hi - lo))
+                cut = np.searchsorted(rows, np.arange(hi - lo + 1))
                 shape = shapes(stats(data, offsets)) if structure else np.zeros((hi - lo, 0))
                 out = [batch.column(0).slice(lo, hi - lo), pa.array([raw[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([x.tobytes() for x in shape], pa.binary())]
                 yield pa.RecordBatch.from_arrays(out, names=["y", "terms", "shape"])
@@ -144,8 +158,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col
     return y, sets, shape
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", structure: bool = False, sample_rows: int = SAMPLE_ROWS, most: int = TERMS, positive_weight: float = 1.0) -> Model:
-    y, sets, shape = sample(docs, labels, label, id_col, text_col, sample_rows, structure)
+def fit(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", structure: bool = False, sample_rows: int = SAMPLE_ROWS, most: int = TERMS, positive_weight: float = 1.0, prefixes: tuple[int, ...] = ()) -> Model:
+    y, sets, shape = sample(docs, labels, label, id_col, text_col, sample_rows, structure, prefixes)
     side = lambda k: np.concatenate([s for s, v in zip(sets, y, strict=True) if v == k] or [np.empty(0, np.uint32)])
     names = fm.chosen(side(1), side(0), int((y == 1).sum()), int((y == 0).sum()), most)
     picked = [at[names[np.minimum(at, len(names) - 1)] == s].astype(np.int64) if len(names) else np.empty(0, np.int64) for s in sets for at in [np.searchsorted(names, s)]]
@@ -154,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id",
         edges = np.quantile(shape, np.arange(1, BINS) / BINS, axis=0).T if len(shape) else np.zeros((len(SHAPES), BINS - 1))
         picked = [np.concatenate([p, n + b]) for p, b in zip(picked, binned(shape, edges), strict=True)] if len(shape) else picked
         n += len(SHAPES) * BINS
-    return Model(names, fm.fit(picked, y, n, positive_weight=positive_weight), edges)
+    return Model(names, fm.fit(picked, y, n, positive_weight=positive_weight), prefixes, edges)
 
 
 def apply(docs: DataFrame, model: Model, threshold: float, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -37,7 +37,7 @@ def test_terms_fold_case_and_cut_beginnings():
     def of(text):
         out = set()
         for _, _, data, offsets in tc.chunks(pa.array([text])):
-            out |= set(classifiers.terms(data, offsets)[1].tolist())
+            out |= set(classifiers.terms(data, offsets, (4, 5, 6))[1].tolist())
         return out
 
     assert of("Idiot!") == of("idiot") == of("IDIOT,") and len(of("idiot")) == 3
@@ -46,6 +46,14 @@ def test_terms_fold_case_and_cut_beginnings():
     assert classifiers.terms(rows[2], rows[3])[0].tolist() == [0, 1]
 
 
+def test_repeated_terms_and_sizes_are_features():
+    rows, hashes = np.array([0, 0, 0, 1]), np.array([7, 7, 9, 7], np.uint32)
+    r, h = classifiers.leveled(rows, hashes, np.array([3, 1, 0]))
+    size = lambda n: classifiers._SIZE + int(np.log2(n + 1))
+    assert set(zip(r.tolist(), h.tolist(), strict=True)) == {(0, 7), (0, 9), (0, 7 ^ classifiers.LEVELS[2]), (1, 7), (0, size(3)), (1, size(1)), (2, size(0))}
+    assert all(not x & 0xFFFFF for x in classifiers.LEVELS.values())
+
+
 def corpus(spark, n=1500):
     r = random.Random(4)
     words = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in ("n", "r", "st", "")]
