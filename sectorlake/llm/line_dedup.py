@@ -7,6 +7,10 @@ a passage stands in a third of all documents.  Each linked pair is aligned with
 is left until nothing is aligned (so moved passages are found too); aligned blocks of ``MIN_WORDS`` words or more go
 from the later document.  Lines without words are passed over; lines are compared without the white space at their ends.
 
+A passage of ``MIN_WORDS`` words or more may start or end inside a line.  A line of fewer words goes too if an earlier document
+holds it, whole, in the same window of ``MIN_WORDS`` words (``windows``; line breaks around it do not count).  The windows are
+looked at only for lines that are held with half of the missing words before or after them (``edges``), which every such line is.
+
 A pair's work is its two line sequences; a first document that very many share is one row of a join that can be split.
 
 Defined cases: a null text stays null; a row with a null doc_id is passed on unchanged; rows that repeat a doc_id and
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sectorlake.llm.session import Stored, cut
-from sectorlake.llm.textcore import SpanHasher, chunks, line_spans, row_bounds, word_spans
+from sectorlake.llm.textcore import SpanHasher, WordHasher, chunks, line_spans, mix, row_bounds, word_spans
 
 MIN_WORDS = 50
 
@@ -133,15 +137,9 @@ def sequences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(2)):
-                n = hi - lo
-                begin, end, rows = line_spans(data, offsets)
-                number = np.arange(len(rows)) - row_bounds(rows, n)[rows]
-                starts, ends, _ = word_spans(data, offsets)
-                first, last = np.searchsorted(starts, begin), np.searchsorted(starts, end)
-                full = last > first
-                rows, number, first, last = rows[full], number[full], first[full], last[full]
-                name = SpanHasher(data)(starts[first], ends[last - 1]).view(np.int64)
-                at = row_bounds(rows, n)
+                n, all_ = hi - lo, _Lines(data, offsets)
+                number, first, last, name = all_.number, all_.first, all_.end, all_.name.view(np.int64)
+                at = row_bounds(all_.row, n)
                 found = [np.unique(x[1][x[0] > 0]) for a, b in zip(at[:-1], at[1:], strict=True) for x in [runs(name[a:b], (last - first)[a:b], least)]]
                 cuts = pa.array(at.astype(np.int32))
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (name, number.astype(np.int32), (last - first).astype(np.int32))]
@@ -154,6 +152,84 @@ def sequences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFr
     return rows.mapInArrow(run, "id bigint, text_hash bigint, lines array<bigint>, numbers array<int>, words array<int>, names array<bigint>")
 
 
+class _Lines:
+    """The lines with words of a chunk of texts: row, number in the text, first and end word, name; and where each row's words are."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        begin, end, rows = line_spans(data, offsets)
+        number = np.arange(len(rows)) - row_bounds(rows, len(offsets) - 1)[rows]
+        starts, ends, word_rows = word_spans(data, offsets)
+        first, last = np.searchsorted(starts, begin), np.searchsorted(starts, end)
+        full = last > first
+        self.row, self.number, self.first, self.end = rows[full], number[full], first[full], last[full]
+        of = SpanHasher(data)
+        self.name = of(starts[self.first], ends[self.end - 1])
+        self.spans = WordHasher(of(starts, ends))
+        at = row_bounds(word_rows, len(offsets) - 1)
+        self.low, self.high = at[:-1][self.row], at[1:][self.row]
+
+    def edges(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(line, hash): each line under ``least`` words with half of the missing words before it, and with as many after it."""
+        size = self.end - self.first
+        half = (least - size + 1) // 2
+        some = (size < least) & (self.high - self.low >= least)
+        left, right = np.flatnonzero(some & (self.first - half >= self.low)), np.flatnonzero(some & (self.end + half <= self.high))
+        before = mix(self.name[left] ^ self.spans(self.first[left] - half[left], self.first[left]))
+        after = mix(~self.name[right] ^ self.spans(self.end[right], self.end[right] + half[right]))
+        return np.concatenate([left, right]), np.concatenate([before, after])
+
+    def windows(self, wanted: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(line, hash): each wanted line with each window of ``least`` words around it, by its place in the window."""
+        low = np.maximum(self.low[wanted], self.end[wanted] - least)
+        high = np.minimum(self.high[wanted] - least, self.first[wanted])
+        n = np.maximum(0, high - low + 1)
+        line = np.repeat(wanted, n)
+        start = np.repeat(low, n) + np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+        place = (self.first[line] - start).astype(np.uint64)
+        return line, mix(self.spans(start, start + least) ^ mix(self.name[line] + place))
+
+
+_DOC = "struct<id: bigint, text_hash: bigint>"
+
+
+def _inside(docs: DataFrame, id_col: str, text_col: str, least: int, gone: DataFrame) -> DataFrame:
+    """(doc, number, first): lines under ``least`` words, not among the ``gone`` (doc, number), that stand whole in a window of
+    ``least`` words of an earlier document."""
+    text = F.col(text_col).cast("string")
+    named = docs.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.struct(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash")).alias("doc"), text.alias("text"))
+
+    def out(batch: pa.RecordBatch, lo: int, lines: _Lines, line: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + lines.row[line])), pa.array(lines.number[line].astype(np.int32)), pa.array(name.view(np.int64))], names=["doc", "number", "name"])
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, data, offsets in chunks(batch.column(1)):
+                lines = _Lines(data, offsets)
+                yield out(batch, lo, lines, *lines.edges(least))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in chunks(batch.column(1), 1 << 18):
+                lines = _Lines(data, offsets)
+                asked = [np.array(x, np.int64) for x in batch.column(2).slice(lo, hi - lo).to_pylist()]
+                at = row_bounds(lines.row, hi - lo)
+                wanted = np.concatenate([a + np.searchsorted(lines.number[a:b], x) for a, b, x in zip(at[:-1], at[1:], asked, strict=True)])
+                yield out(batch, lo, lines, *lines.windows(wanted, least))
+
+    kind = f"doc {_DOC}, number int, name bigint"
+    held = Stored(named.mapInArrow(edges, kind))
+    firsts = lambda df: df.groupBy("name").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("name", "first")
+    shared = cut(held.df.join(firsts(held.df), "name"))
+    open_ = shared.where("first < doc").join(gone, ["doc", "number"], "left_anti").select("name").distinct()
+    asked = shared.join(open_, "name", "left_semi").groupBy("doc").agg(F.array_sort(F.collect_set("number")).alias("numbers"))
+    texts = named.join(asked, "doc").dropDuplicates(["doc"]).select("doc", "text", "numbers")
+    near = Stored(texts.mapInArrow(windows, kind))
+    found = cut(near.df.join(firsts(near.df), "name").where("first < doc").select("doc", "number", "first").distinct())
+    held.drop()
+    near.drop()
+    return found
+
+
 def overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """(id, text_hash, gone, sources): the numbers of the lines that go from each document that loses any, and the ids of
     the earlier documents that they stand in."""
@@ -173,10 +249,12 @@ def overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             gone = [n[g].tolist() for g, n in zip(gone, side(3, 2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["first", "doc", "gone"])
 
-    kind = "struct<id: bigint, text_hash: bigint>"
-    found = both.select("first", "doc", "first_lines", "doc_lines").mapInArrow(run, f"first {kind}, doc {kind}, gone array<int>")
+    found = both.select("first", "doc", "first_lines", "doc_lines").mapInArrow(run, f"first {_DOC}, doc {_DOC}, gone array<int>")
     out = cut(found.where(F.size("gone") > 0).select(F.col("doc.id").alias("id"), F.col("doc.text_hash").alias("text_hash"), "gone", F.col("first.id").alias("source")))
     known.drop()
+    blocks = out.select(F.struct("id", "text_hash").alias("doc"), F.explode("gone").alias("number")).distinct()
+    inside = _inside(docs, id_col, text_col, least, blocks)
+    out = out.unionByName(inside.select("doc.id", "doc.text_hash", F.array("number").alias("gone"), F.col("first.id").alias("source")))
     merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")
     return out.groupBy("id", "text_hash").agg(merged, F.array_sort(F.collect_set("source")).alias("sources"))
 

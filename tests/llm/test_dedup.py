@@ -237,3 +237,24 @@ def test_line_dedup_against_brute_force(spark):
     out = line_dedup.deduplicated(docs)
     assert out.columns == docs.columns and out.count() == len(got)
     assert line_dedup.dedup(docs.limit(0)).count() == 0
+
+
+def test_passages_that_start_or_end_inside_a_line(spark):
+    r = random.Random(9)
+    words = lambda n: " ".join(f"w{r.randrange(99999)}" for _ in range(n))
+    a, b, c, d, own = words(30), words(9), words(25), words(21), [words(40) for _ in range(12)]
+    rows = [
+        (0, f"{own[0]}\n{b}\n{own[1]}"),  # holds the short line first, without the passage
+        (1, f"{own[2]} {a}\n{b}\n{c} {own[3]}"),
+        (2, f"{own[4]} {a}\n {b}\n{c} {own[5]}"),
+        (3, f"{own[6]}\n{b}\n{c} {own[7]}"),  # 34 common words are no passage
+        (4, f"{own[8]} {a} {b} {c} {own[9]}\nx"),  # all inside one line
+        (5, f"{own[10]} {d}\n{c}\n{' '.join(c.split()[:3])} {own[11]}"),
+        (6, f"{words(40)} {d}\n{c}\n{' '.join(c.split()[:3])} {words(40)}"),  # 21 + 25 + 3 words
+        (7, f"{words(40)} x {d}\n{c}\n{' '.join(c.split()[:3])} {own[11].split()[0]} {words(40)}"),  # one word more, in common with 5 only
+    ]
+    got = {x.doc_id: x for x in line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).select("row.doc_id", "text", "n_removed_lines", "source_ids").collect()}
+    lines = rows[2][1].split("\n")
+    assert (got[2].text, got[2].n_removed_lines, got[2].source_ids) == (f"{lines[0]}\n{lines[2]}", 1, [1])
+    assert (got[7].n_removed_lines, got[7].source_ids) == (1, [5]) and c not in got[7].text.split("\n")
+    assert all(got[i].text == t and not got[i].source_ids for i, t in rows if i not in (2, 7))
