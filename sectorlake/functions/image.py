@@ -15,7 +15,7 @@ import numpy as np
 SECTOR, SLOTS, BITS = 512, 72, 127 * 32
 FILE, ROOT, FOLDER = 0xFFFFFFFD, 1, 2
 NAME_LIMIT, COMMENT_LIMIT = 30, 79
-READ_LIMIT = 40960  # sectors of one file that are read
+READ_LIMIT = 40960  # sectors of one file after which content_compat reads no further extension block
 _LONG = struct.Struct(">I")
 
 
@@ -116,19 +116,19 @@ class Image:
     def folders(self) -> list[int]:
         return [self.root, *dict.fromkeys(e.sector for _, e in self.walk() if e.kind == "DIR")]
 
-    def extensions(self, sector: int) -> list[int]:
+    def extensions(self, sector: int, most: int | None = None) -> list[int]:
         out, seen = [], {sector}
         at = self.long(sector, SECTOR - 8)
-        while self.valid(at) and at not in seen and len(out) * SLOTS < READ_LIMIT:
+        while self.valid(at) and at not in seen and (most is None or (len(out) + 1) * SLOTS < most):
             seen.add(at)
             out.append(at)
             at = self.long(at, SECTOR - 8)
         return out
 
-    def data_sectors(self, sector: int) -> list[tuple[int, int]]:
+    def data_sectors(self, sector: int, most: int | None = None) -> list[tuple[int, int]]:
         """(sector, bytes) of a file's data blocks in order, by the pointers (the last slot is the first block)."""
         left, out = self.long(sector, SECTOR - 188), []
-        for s in (p for block in (sector, *self.extensions(sector)) for p in reversed(self.pointers(block))):
+        for s in (p for block in (sector, *self.extensions(sector, most)) for p in reversed(self.pointers(block))):
             if s and self.valid(s) and left > 0:
                 n = min(left, self.payload)
                 if not self.ffs:
@@ -148,8 +148,14 @@ class Image:
 
     def content(self, sector: int, pointers: bool = True) -> bytes:
         """The file's bytes; what is missing is zero."""
+        return self._joined(sector, self.data_sectors(sector) if pointers or self.ffs else self.chain(sector))
+
+    def content_compat(self, sector: int) -> bytes:
+        """As viewers read it: OFS along the links, FFS up to about 20 MB and zeros beyond."""
+        return self._joined(sector, self.data_sectors(sector, READ_LIMIT) if self.ffs else self.chain(sector))
+
+    def _joined(self, sector: int, found: list[tuple[int, int]]) -> bytes:
         size = min(self.long(sector, SECTOR - 188), len(self.data))
-        found = self.data_sectors(sector) if pointers or self.ffs else self.chain(sector)
         head = 0 if self.ffs else 24
         return b"".join(bytes(self.data[s * SECTOR + head : s * SECTOR + head + n]) for s, n in found)[:size].ljust(size, b"\0")
 

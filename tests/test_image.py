@@ -28,6 +28,18 @@ def test_write_and_read(ffs, size):
     assert im.free_size(True)[0] == before and walker.read(bytes(im.data))[0] == {}
 
 
+@pytest.mark.parametrize("ffs", [False, True])
+def test_files_over_twenty_megabytes_are_whole(ffs):
+    data = random.Random(1).randbytes(21_100_000)
+    im = Image(blank(sectors=45_000, ffs=ffs))
+    before = im.free_size(True)[0]
+    sector = im.write_file("large", data)
+    assert im.content(sector) == data
+    assert (im.content_compat(sector) == data) != ffs and len(im.content_compat(sector)) == len(data)
+    im.delete(sector)
+    assert im.free_size(True)[0] == before
+
+
 def colliding(n):
     found, k = [], 0
     while len(found) < n:
