@@ -56,7 +56,9 @@ _ARTICLE_NAMES = re.compile(r"(?<![a-z-])(?:comments?|reply|replies|ads?|promo|s
 _ATTR = re.compile(r"""\b(id|class|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SENTENCE = re.compile(r"[.!?,;:…。！？、](?=\s|$)")
 
-STRONG = 10_000  # the score of a block whose place decides
+STRONG = 10_000  # the score of a block that its place rules out (navigation, forms, hidden parts): more than all its edges
+PLACE = 200  # what the main element adds to its blocks and takes from others, if it holds all of the page's text
+NAMED = 500  # what a boilerplate name, or a header outside the main element, takes: about a long block's words
 ADJACENT, SIBLING = 90, 45  # smoothness of blocks that follow each other, and of blocks under one parent
 
 
@@ -172,29 +174,33 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-def score(block: Block, page_has_main: bool) -> int:
-    """The classifier: positive for content."""
+def place(block: Block) -> tuple[bool, bool, bool]:
+    """Whether its place rules the block out, whether it has a boilerplate name, and whether it is in a main element."""
     at, main, header, soft = block.node, False, False, False
     while at is not None:
         if at.boiler:
-            return -STRONG
+            return True, False, False
         soft |= at.soft and not at.has_main
         header |= at.tag == "header"
         main |= at.main
         at = at.parent
-    if soft or (header and not main):
-        return -STRONG
+    return False, soft or (header and not main), main
+
+
+def scores(found: list[Block]) -> list[int]:
+    """The classifier: positive for content.  A main element counts by its share of the text that may be content."""
+    places = [place(b) for b in found]
+    size = [0 if out or named else len(b.text) for b, (out, named, _) in zip(found, places, strict=True)]
+    weight = PLACE * sum(n for n, (*_, main) in zip(size, places, strict=True) if main) // max(1, sum(size))
+    return [-STRONG if out else _words(b) - NAMED * named + (weight if main else -weight) for b, (out, named, main) in zip(found, places, strict=True)]
+
+
+def _words(block: Block) -> int:
     words = block.text.count(" ") + 1
     value = min(words, 60) * 6 - 40
     value += 40 * sum(1 for _ in islice(_SENTENCE.finditer(block.text), 3))
     value -= 300 * min(block.links, len(block.text)) // max(1, len(block.text))
-    if block.node.tag in ("h1", "h2", "h3"):
-        value += 60
-    if main:
-        value += STRONG // 2
-    elif page_has_main:
-        value -= STRONG // 2
-    return value
+    return value + 60 * (block.node.tag in ("h1", "h2", "h3"))
 
 
 def smoothness(found: list[Block]) -> dict[tuple[int, int], int]:
@@ -228,22 +234,12 @@ def main_text(html: str | None) -> str:
     found = blocks(html or "")
     if not found:
         return ""
-    has_main = any(_under_main(b.node) for b in found)
-    scores = [score(b, has_main) for b in found]
-    keep = min_cut_labels(scores, smoothness(found))
+    keep = min_cut_labels(scores(found), smoothness(found))
     if not any(keep):  # a page of scraps: all that its place does not rule out
-        keep = [s > -STRONG // 2 for s in scores]
+        keep = [not (out or named) for out, named, _ in map(place, found)]
     return " ".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
-def _under_main(node: _Node) -> bool:
-    while node is not None:
-        if node.main and not node.boiler:
-            return True
-        node = node.parent
-    return False
-
-
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, url_col, text, n_chars) of every page."""
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in (id_col, url_col))

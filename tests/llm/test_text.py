@@ -184,6 +184,18 @@ def test_html(spark):
     assert sorted(((r.page_id, r.url, r.text, r.n_chars) for r in got), key=str) == sorted([(1, "u", want, len(want))] * 2 + [(None, None, "", 0), (2, "v", "", 0)], key=str)
 
 
+def test_html_place_is_no_verdict():
+    long_ = [" ".join(f"word{k}{j}" for j in range(40)) + ", and so it ends." for k in range(6)]
+    teaser = '<article class="card"><h3>Teaser</h3><p>Short words.</p></article>'
+    got = html_extract.main_text(f'<nav>Home</nav><div class="content">{"".join(f"<p>{t}</p>" for t in long_)}</div>{teaser}<footer>me</footer>')
+    assert all(t in got for t in long_) and "Home" not in got and not got.endswith("me")
+    # the edges decide: blocks that count as boilerplate alone stay between long ones
+    page = f'<article><p>{long_[0]}</p><p><a href="/">Some words of link</a></p><p>{long_[1]}</p></article><div><p>Other words, few.</p></div>'
+    value = html_extract.scores(html_extract.blocks(page))
+    assert value[1] < 0 and html_extract.main_text(page) == f"{long_[0]} Some words of link {long_[1]}"
+    assert all(abs(v) < html_extract.STRONG // 2 for v in value)
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN[1][1]
     texts = [mit, "MIT  License\n\nCopyright (c) 2020 Jane\nAll rights reserved.\n\n" + licenses._MIT_BODY.upper().replace(",", " ,"), licenses._MIT_BODY.replace('"', "”"), mit + " more", "RELEASED under the  MIT licence", "", None, "   ", "copyright notice is kept", "x " * 50000, "Copyright 2020", mit.replace("sublicense", "sub-license")]
