@@ -14,8 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that only states a copyright: its mark or word, at the line's start, with a year, a name or (c) after it.
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9]|by |<|\[|\{)[^\n]*"
+#: A line that only states a copyright: its mark or word, at the line's start, with a year or (c) after it.
+COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(portions[ \t]+)?(copyright:?|\(c\)|©)[ \t]*(\(c\)|©|[0-9]|by |<|\[|\{)[^\n]*"
+#: The same with a name after it, if the line is short.  Every line has line ends of its own here (see ``canonical``).
+NAME_LINE = r"\n[^a-z0-9\n]*(portions[ \t]+)?(copyright:?[ \t]|©)[ \t]*[\"'“‘]?[^\x00-\x60\x7b-\x7f“”‘’«»–—…©®™][^\n]{0,120}\n"
+#: What follows the word inside licences, so no name; its c is \x01 while the lines above are dropped.
+COPYRIGHT_TERM = (
+    r"copyright([ \t]+(notices?|holders?|owners?|ownership|and|or|law|laws|license|licence|licenses|disclaimer|permission|permissions|on|in|of|to|is|are|if|as|for|interest|interests|treaty|treaties|statements?|doctrines?|resulting|"
+    r"protection|infringement|management|information|status|rights?|the[ \t]+(software|program|library|work|code|document))[^a-z0-9])"
+)
 RIGHTS_LINE = r"(^|\n)[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*"
 #: Equivalent spellings, applied in this order to lower-case words with spaces around them.
 SPELLINGS = [
@@ -84,9 +91,13 @@ Unless required by applicable law or agreed to in writing, software distributed
 
 def canonical(text: Column) -> Column:
     """The normal form of a whole text."""
-    c = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER + "\r", _LOWER + "\n")
+    c = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER + "\r\x01", _LOWER + "\n ")
+    c = F.concat(F.lit("\n"), F.replace(c, F.lit("\n"), F.lit("\n\n")), F.lit("\n"))
+    c = F.regexp_replace(c, COPYRIGHT_TERM, "\x01opyright$1")
     c = F.regexp_replace(c, COPYRIGHT_LINE, "\n")
+    c = F.regexp_replace(c, NAME_LINE, "\n")
     c = F.regexp_replace(c, RIGHTS_LINE, "\n")
+    c = F.replace(c, F.lit("\x01"), F.lit("c"))
     c = F.concat(F.lit(" "), F.regexp_replace(c, r"[\x00-\x2f\x3a-\x60\x7b-\x7f“”‘’«»–—…©®™]+", " "), F.lit(" "))
     for old, new in SPELLINGS:
         c = F.replace(c, F.lit(f" {old} "), F.lit(f" {new} "))
@@ -117,9 +128,13 @@ def oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def form(c: str) -> str:
-        c = f"translate(coalesce({c}, ''), '{_UPPER}' || chr(13), '{_LOWER}' || chr(10))"
+        c = f"translate(coalesce({c}, ''), '{_UPPER}' || chr(13) || chr(1), '{_LOWER}' || chr(10) || ' ')"
+        c = f"chr(10) || replace({c}, chr(10), chr(10) || chr(10)) || chr(10)"
+        c = f"regexp_replace({c}, {quote(COPYRIGHT_TERM)}, chr(1) || 'opyright\\1', 'g')"
         c = f"regexp_replace({c}, {quote(COPYRIGHT_LINE)}, chr(10), 'g')"
+        c = f"regexp_replace({c}, {quote(NAME_LINE)}, chr(10), 'g')"
         c = f"regexp_replace({c}, {quote(RIGHTS_LINE)}, chr(10), 'g')"
+        c = f"replace({c}, chr(1), 'c')"
         c = "' ' || regexp_replace(" + c + r", '[\x00-\x2f\x3a-\x60\x7b-\x7f“”‘’«»–—…©®™]+', ' ', 'g') || ' '"
         for old, new in SPELLINGS:
             c = f"replace({c}, ' {old} ', ' {new} ')"

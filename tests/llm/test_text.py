@@ -213,3 +213,22 @@ def test_licenses(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, con.execute(f"SELECT doc_id, digest, canonical_chars, license_id FROM ({licenses.oracle()})").fetchall())) == sorted(key((r.doc_id, r.digest, r.canonical_chars, r.license_id)) for r in licenses.scan(docs).collect())
+
+
+def test_copyright_lines_with_names(spark):
+    import duckdb
+
+    names = ["Copyright Jane Doe", "Copyright Joyent, Inc. and other Node contributors.", "Copyright: 2020 X", "Portions Copyright (c) 2010 Y", "Copyright The Regents of the University. All rights reserved.", "© Jane", "Portions copyright Émile", "Copyright: Lawrence Holderman", "Copyright Jane\nCopyright John\n\n# Copyright (c) 2001 Z"]
+    texts = [f"MIT License\n\n{n}\n\n{licenses._MIT_BODY}" for n in names]
+    # the bodies' own lines stay, however they are wrapped
+    wrapped = [licenses._MIT_BODY.replace("above copyright", "above\ncopyright").replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS"), licenses._MIT_BODY.replace(" copyright", "\n  copyright"), licenses._MIT_BODY.replace("copyright ", "copyright\n")]
+    other = ["copyright notice one", "a\ncopyright law of many\nb", "a\x01b", "Copyright Jane " + "word " * 40, licenses._MIT_BODY + "\nCopyright of more"]
+    docs = [(k, t) for k, t in enumerate(texts + wrapped + other)]
+    got = {r.doc_id: (r.digest, r.canonical_chars, r.license_id) for r in licenses.scan(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    n = len(texts + wrapped)
+    assert [got[k][2] for k in range(len(docs))] == ["MIT"] * n + [None] * len(other)
+    assert [got[n + k][1] for k in range(4)] == [20, 25, 3, 214]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    assert {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, digest, canonical_chars, license_id FROM ({licenses.oracle()})").fetchall()} == got
