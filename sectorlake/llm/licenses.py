@@ -87,6 +87,31 @@ Unless required by applicable law or agreed to in writing, software distributed
     ("GPL-3.0-notice", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0."),
 ]
+#: Digests of the canonical forms of whole licences: with their appendix on how to apply them, and up to it.
+DIGESTS = [
+    ("Apache-2.0", "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2"),
+    ("Apache-2.0", "f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.2", "84f3c9e8cdded0036378e7e6eb92ac6570731434d2fc46027f259264dc16501e"),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("GFDL-1.3", "ccfa2750c2a3b9dae93f959cfa64078cc3a306c4a4cd4cfaf18365396202da90"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+]
 
 
 def canonical(text: Column) -> Column:
@@ -110,10 +135,11 @@ def digest(text: Column) -> Column:
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
     """(digest, license_id) of the known texts, one row for each digest."""
+    own = spark.createDataFrame(KNOWN, "license_id string, text string").coalesce(1) if known is None else known
+    some = own.where(F.length(canonical(F.col("text"))) > 0).select("license_id", digest(F.col("text")).alias("digest"))
     if known is None:
-        known = spark.createDataFrame(KNOWN, "license_id string, text string").coalesce(1)
-    some = known.where(F.length(canonical(F.col("text"))) > 0)
-    return some.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+        some = some.unionByName(spark.createDataFrame(DIGESTS, "license_id string, digest string")).coalesce(1)
+    return some.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,8 +167,10 @@ def oracle() -> str:
         return f"trim({c}, ' ')"
 
     rows = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in KNOWN)
+    digests = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in DIGESTS)
     return f"""
-        WITH known AS (SELECT sha256({form("text")}) AS digest, min(license_id) AS license_id FROM (VALUES {rows}) AS k(license_id, text) WHERE length({form("text")}) > 0 GROUP BY 1),
+        WITH texts AS (SELECT license_id, sha256({form("text")}) AS digest FROM (VALUES {rows}) AS k(license_id, text) WHERE length({form("text")}) > 0),
+        known AS (SELECT digest, min(license_id) AS license_id FROM (FROM texts UNION ALL SELECT * FROM (VALUES {digests}) AS d(license_id, digest)) GROUP BY 1),
         forms AS (SELECT doc_id, {form("text")} AS form FROM documents)
         SELECT doc_id, sha256(form) AS digest, CAST(length(form) AS BIGINT) AS canonical_chars, license_id
         FROM forms LEFT JOIN known ON sha256(form) = known.digest"""

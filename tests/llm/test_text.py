@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -232,3 +233,25 @@ def test_copyright_lines_with_names(spark):
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
     assert {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, digest, canonical_chars, license_id FROM ({licenses.oracle()})").fetchall()} == got
+
+
+def test_whole_licenses(spark):
+    import duckdb
+
+    folder = Path("/usr/share/common-licenses")
+    want = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0"}
+    want |= {"LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    names = [n for n in want if (folder / n).exists()]
+    if not names:
+        pytest.skip("no licence texts on this machine")
+    texts = [(folder / n).read_text() for n in names]
+    docs = [*enumerate(texts), *((100 + k, t.replace("\n", "\r\n")) for k, t in enumerate(texts)), *((200 + k, t + "\nand more") for k, t in enumerate(texts))]
+    if "Apache-2.0" in names:
+        terms = texts[names.index("Apache-2.0")].split("APPENDIX: How to apply")[0]
+        docs.append((300, terms))
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {k: want[names[k % 100]] if k < 200 else None if k < 300 else "Apache-2.0" for k, _ in docs}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    assert dict(con.execute(f"SELECT doc_id, license_id FROM ({licenses.oracle()})").fetchall()) == got
