@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from sectorlake.llm.textcore import U64, mix
+from sectorlake.llm.textcore import U64, Spans, mix
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 _INF = np.int64(1 << 62)
@@ -135,7 +135,7 @@ class Bpe:
         lengths = np.array([len(b) for b in token_bytes], np.int64)
         self.token_start = np.concatenate([[0], np.cumsum(lengths)])
         self.token_flat = np.frombuffer(b"".join(token_bytes), np.uint8)
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
 
     @classmethod
     def from_ranks(cls, path: str) -> "Bpe":
@@ -271,36 +271,33 @@ class Bpe:
                 pair(before[i], i)
         return np.array([s for s, a in zip(symbol, live, strict=True) if a], np.uint32)
 
-    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def lookup(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words end to end, and their numbers."""
         cache = self.cache
         missing = [w for w in words if w not in cache]
         if missing:
             if len(cache) + len(missing) > _CACHE_LIMIT:  # what this chunk uses stays
                 self.cache = cache = {w: got for w in words if (got := cache.get(w)) is not None}
-            cache.update(zip(missing, self.merge([w.encode() for w in missing]), strict=True))
+            cache.update(zip(missing, self.merge(missing), strict=True))
         got = [cache[w] for w in words]
         return np.frombuffer(b"".join(got), np.uint32), np.array([len(g) >> 2 for g in got], np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts of a chunk end to end, and the offset of each text."""
-        text = data.tobytes().decode()
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        raw = data.tobytes()
+        points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
         if not len(points):
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
-        lead = np.zeros(len(data) + 1, np.int64)
-        np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
-        at = lead[offsets]
-        starts = pretokens(points, at)
-        ends = np.append(starts[1:], len(points))
-        hashes = _point_hash(points, starts, ends)
-        _, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        flat, count = self.lookup([text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+        lead = np.flatnonzero((data & 0xC0) != 0x80)  # the byte of each code point
+        starts = lead[pretokens(points, np.searchsorted(lead, offsets))]
+        ends = np.append(starts[1:], len(data))
+        where, back = Spans(data).groups(starts, ends)
+        flat, count = self.lookup([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
         begin = np.cumsum(count) - count
         n = count[back]
         total = np.concatenate([[0], np.cumsum(n)])
         ids = flat[np.repeat(begin[back] - total[:-1], n) + np.arange(total[-1])]
-        return ids, total[np.searchsorted(starts, at)]
+        return ids, total[np.searchsorted(starts, offsets)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         start = self.token_start[ids]
@@ -309,20 +306,6 @@ class Bpe:
         return self.token_flat[np.repeat(start - total[:-1], n) + np.arange(total[-1])].tobytes()
 
 
-_powers = np.ones(1, U64), np.ones(1, U64)
-
-
-def _point_hash(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of code points, by prefix sums of powers."""
-    global _powers
-    n, base = len(points), 0xD1342543DE82EF97
-    if len(_powers[0]) <= n:
-        _powers = tuple(np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(n, b, U64)])) for b in (U64(base), U64(pow(base, -1, 1 << 64))))
-    prefix = np.zeros(n + 1, U64)
-    np.cumsum(mix(points.astype(U64) + U64(0x632BE59BD9B4E019)) * _powers[0][:n], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * _powers[1][starts] + (ends - starts).astype(U64))
-
-
 @lru_cache(4)
 def from_ranks(path: str) -> Bpe:
     return Bpe.from_ranks(path)

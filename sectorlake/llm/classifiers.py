@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sectorlake.llm import fm
 from sectorlake.llm.docstats import stats
-from sectorlake.llm.textcore import SpanHasher, chunks
+from sectorlake.llm.textcore import Spans, chunks
 
 SAMPLE_ROWS = 12_000
 TERMS = 4096
@@ -65,7 +65,7 @@ def terms(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ())
     end[last] = word[last]
     ends = np.flatnonzero(end) + 1
     rows = np.searchsorted(offsets, starts, "right") - 1
-    hasher = SpanHasher(data)
+    hasher = Spans(data).hash
     found_rows, found = [rows], [hasher(starts, ends) >> np.uint64(32)]
     for k in prefixes:
         longer = ends - starts >= k

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from sectorlake.llm.textcore import U64, SpanHasher, line_spans, mix, word_spans
+from sectorlake.llm.textcore import U64, Spans, line_spans, mix, word_spans
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -49,7 +49,7 @@ def stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Per text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the counts that the rules need."""
     n = len(offsets) - 1
     starts, ends, rows = word_spans(data, offsets)
-    hasher = SpanHasher(data)
+    spans = Spans(data)
     out = {"n_words": np.bincount(rows, minlength=n)}
     lead = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
@@ -66,23 +66,23 @@ def stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     np.cumsum(flag, out=word_at[1:])
     full = word_at[b] > word_at[a]
     a, b, line_rows = a[full], b[full], line_rows[full]
-    key = mix(hasher(a, b) ^ (line_rows.astype(U64) * U64(0x9E3779B97F4A7C15)))
     out["n_lines"] = np.bincount(line_rows, minlength=n)
-    out["n_dup_lines"] = np.bincount(line_rows[again(key)], minlength=n)
+    out["n_dup_lines"] = np.bincount(line_rows[again(spans.groups(a, b)[1] * n + line_rows)], minlength=n)
     out["n_ended_lines"] = np.bincount(line_rows[_END[data[b - 1]]], minlength=n) if len(b) else np.zeros(n, np.int64)
     # words
     out["n_bang_words"] = np.bincount(rows[data[ends - 1] == 33], minlength=n) if len(ends) else np.zeros(n, np.int64)
-    words = hasher(starts, ends)
+    words = spans.groups(starts, ends)[1]
     covered = np.zeros(len(words), bool)
     if len(words) > 2:
-        inside = rows[2:] == rows[:-2]
-        tri = (words[:-2] * U64(0x9FB21C651E98DF25) + words[1:-1]) * U64(0xC2B2AE3D27D4EB4F) + words[2:]
-        tri = mix(tri ^ (rows[:-2].astype(U64) * U64(0xD6E8FEB86659FD93)))
-        at = np.flatnonzero(inside)
-        at = at[repeated(tri[at])]
+        at = np.flatnonzero(rows[2:] == rows[:-2])
+        like = words.astype(U64)
+        tri = (like[at] * U64(0x9FB21C651E98DF25) + like[at + 1]) * U64(0xC2B2AE3D27D4EB4F) + like[at + 2]
+        at = at[repeated(mix(tri ^ (rows[at].astype(U64) * U64(0xD6E8FEB86659FD93))))]  # few are left; these are named exactly
+        pair = np.unique(words[at] * len(words) + words[at + 1], return_inverse=True)[1]
+        triple = np.unique(pair * len(words) + words[at + 2], return_inverse=True)[1]
+        at = at[repeated(triple * n + rows[at])]
         for k in range(3):
             covered[at + k] = True
     out["n_repeat_words"] = np.bincount(rows[covered], minlength=n)
-    seen = again(mix(words ^ (rows.astype(U64) * U64(0xFF51AFD7ED558CCD))))
-    out["n_distinct_words"] = out["n_words"] - np.bincount(rows[seen], minlength=n)
+    out["n_distinct_words"] = out["n_words"] - np.bincount(rows[again(words * n + rows)], minlength=n)
     return out

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from sectorlake.llm.components import components, least_reached
 from sectorlake.llm.docstats import again
 from sectorlake.llm.session import Stored, cut
-from sectorlake.llm.textcore import U64, SpanHasher, chunks, mix, row_bounds, shingles, word_spans
+from sectorlake.llm.textcore import U64, Spans, chunks, mix, row_bounds, shingles, word_spans
 
 THRESHOLD = (4, 5)  # a similarity of 4/5, compared in whole numbers
 WORDS = 5
@@ -95,10 +95,10 @@ def bands(signature: np.ndarray) -> np.ndarray:
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Distinct shingle hashes of the texts of a chunk, the row of each (sorted), and a digest of each row's words."""
     starts, ends, rows = word_spans(data, offsets)
-    words = SpanHasher(data)(starts, ends)
+    words = Spans(data).hash(starts, ends)
     n = len(offsets) - 1
     at = row_bounds(rows, n)
-    digest = [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
+    digest = word_digests(data, starts, ends, at)
     every = shingles(words, WORDS) if len(words) >= WORDS else np.empty(0, U64)
     own = np.flatnonzero(rows[WORDS - 1 :] == rows[: len(rows) - WORDS + 1]) if len(words) >= WORDS else np.empty(0, np.int64)
     found, owner = every[own], rows[own]
@@ -112,6 +112,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return found[first], owner[first], digest
 
 
+def word_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A 128-bit digest of the words of each row, one space between them; at: where each row's words are."""
+    size = ends - starts + 1
+    total = np.concatenate([[0], np.cumsum(size)])
+    flat = np.concatenate([data, [0x20]]).astype(np.uint8)[np.minimum(np.repeat(starts - total[:-1], size) + np.arange(total[-1]), len(data))]
+    flat[total[1:] - 1] = 0x20
+    view = memoryview(flat)
+    return [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(total[at[:-1]].tolist(), total[at[1:]].tolist(), strict=True)]
+
+
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text_hash, hi, lo, bands) of every row with an id; hi and lo: the digest of the words."""
 

@@ -6,14 +6,13 @@ A text is never cut; a text longer than the chunk limit is a chunk of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = U64(0x9E3779B97F4A7C17)  # odd, 3 mod 4
-_BASE_INV = U64(pow(0x9E3779B97F4A7C17, -1, 1 << 64))
 CHUNK_BYTES = 1 << 20
 
 
@@ -28,26 +27,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0xD1B54A32D192ED03))
-_powers = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + (1 << 16))
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            table = np.multiply.accumulate(p)
-            if size > 8 * CHUNK_BYTES:
-                if k == 0:
-                    big = table
-                    continue
-                return big[:n], table[:n]  # of one very long text: not kept
-            _powers[k] = table
-    return _powers[0][:n], _powers[1][:n]
-
-
 def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive runs of rows with about ``limit`` bytes each."""
     if isinstance(column, pa.ChunkedArray):
@@ -102,29 +81,71 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts[a], ends[b], row_s[a]
 
 
-class SpanHasher:
-    """64-bit hashes of any byte spans of a chunk, in constant time a span after one pass."""
+_KEY, _ROUND = U64(0x3C79AC492BA7B653), U64(0x1C69B3F74AC4AE35)
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], U64)  # masks of the first n bytes
+LONG = 1024  # bytes; longer spans are hashed and compared one by one
 
-    def __init__(self, data: np.ndarray):
-        power, self.inverse = _power_tables(len(data) + 1)
-        self.prefix = np.zeros(len(data) + 1, U64)
-        np.cumsum(_TABLE[data] * power[:-1], out=self.prefix[1:])
-
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.prefix[ends] - self.prefix[starts]) * self.inverse[starts]
-        return mix(h + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
 
+class Spans:
+    """Byte spans of a chunk: keyed 64-bit hashes, and the exact groups of equal spans.
 
-class WordHasher:
-    """64-bit hashes of any runs of words of a chunk, given the hash of each word, in constant time a run after one pass."""
+    A hash takes eight bytes at a time and mixes after each step, so it is no polynomial that regular texts could cancel.
+    Where equality within a chunk decides a result, ``groups`` compares the bytes as well."""
 
-    def __init__(self, words: np.ndarray):
-        power, self.inverse = _power_tables(len(words) + 1)
-        self.prefix = np.zeros(len(words) + 1, U64)
-        np.cumsum(words * power[:-1], out=self.prefix[1:])
-
-    def __call__(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[end] - self.prefix[first]) * self.inverse[first])
+    def __init__(self, data: np.ndarray):
+        self.data = np.concatenate([data, np.zeros(8, np.uint8)])
+        self.words = np.ndarray((len(data) + 1,), "<u8", self.data, strides=(1,))  # the eight bytes from each byte on
+
+    def hash(self, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+        n = ends - starts
+        h = mix(n.astype(U64) ^ _KEY ^ U64(key))
+        some = np.flatnonzero((n > 0) & (n <= LONG))
+        left, at = n[some], starts[some]
+        while len(some):  # one step for all spans that still have bytes
+            x = (h[some] ^ (self.words[at] & _FIRST[np.minimum(left, 8)])) * _ROUND
+            h[some] = x ^ (x >> U64(29))
+            more = left > 8
+            some, left, at = some[more], left[more] - 8, at[more] + 8
+        for i in np.flatnonzero(n > LONG).tolist():
+            part = hashlib.blake2b(memoryview(self.data)[starts[i] : ends[i]], digest_size=8, key=int(key).to_bytes(8, "little")).digest()
+            h[i] = int.from_bytes(part, "little")
+        return mix(h)
+
+    def equal(self, starts: np.ndarray, ends: np.ndarray, starts2: np.ndarray, ends2: np.ndarray) -> np.ndarray:
+        """Whether the two spans of each row hold the same bytes."""
+        left = ends - starts
+        good = left == ends2 - starts2
+        for i in np.flatnonzero(good & (left > LONG) & (starts != starts2)).tolist():
+            good[i] = np.array_equal(self.data[starts[i] : ends[i]], self.data[starts2[i] : ends2[i]])
+        some = np.flatnonzero(good & (left > 0) & (left <= LONG) & (starts != starts2))
+        left, at, at2 = left[some], starts[some], starts2[some]
+        while len(some):
+            same = ((self.words[at] ^ self.words[at2]) & _FIRST[np.minimum(left, 8)]) == 0
+            good[some[~same]] = False
+            more = same & (left > 8)
+            some, left, at, at2 = some[more], left[more] - 8, at[more] + 8, at2[more] + 8
+        return good
+
+    def groups(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first span of each group of equal spans, and the group of each span."""
+        _, first, group = np.unique(self.hash(starts, ends), return_index=True, return_inverse=True)
+        if self.equal(starts, ends, starts[first[group]], ends[first[group]]).all():
+            return first, group
+        known: dict[bytes, int] = {}  # two different spans have one hash: by the bytes alone
+        raw = self.data.tobytes()
+        group = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        return np.unique(group, return_index=True)[1], group
+
+
+def run_hashes(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of words, given the hash of each word; the runs' lengths are few and bounded."""
+    size = end - first
+    h = mix(size.astype(U64) ^ _KEY)
+    for k in range(int(size.max()) if len(size) else 0):
+        some = np.flatnonzero(size > k)
+        x = (h[some] ^ words[first[some] + k]) * _ROUND
+        h[some] = x ^ (x >> U64(29))
+    return mix(h)
 
 
 _STEP = [U64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]

@@ -26,6 +26,12 @@ def library():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(JSON)
 
 
+def opposite(n=2048):
+    """Two texts whose polynomial hashes of any odd base are equal modulo 2 ** 64: a Thue-Morse word and its complement."""
+    word = "".join("ab"[k.bit_count() & 1] for k in range(n))
+    return word, word.translate({97: 98, 98: 97})
+
+
 def encoded(model, texts):
     out = []
     for lo, hi, data, offsets in tc.chunks(pa.array(texts, pa.string()), 300):
@@ -42,6 +48,31 @@ def test_ids_are_the_libraries(library, texts):
     assert encoded(bpe.from_json(JSON), texts) == [e.ids for e in library[1].encode_batch(texts, add_special_tokens=False)]
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.integers(3, 2048), st.sampled_from(["\n", " ", "\n x"]), st.lists(st.sampled_from(["it is", "a"]), max_size=2))
+def test_regular_texts_do_not_collide(library, n, between, more):
+    a, b = opposite(n)
+    texts = [a + between + b, *more, b, a + between + a]
+    assert encoded(bpe.from_ranks(RANKS), texts) == [library[0].encode_ordinary(t) for t in texts]
+    assert encoded(bpe.from_json(JSON), texts) == [e.ids for e in library[1].encode_batch(texts, add_special_tokens=False)]
+    for _, _, data, offsets in tc.chunks(pa.array(texts)):
+        s = docstats.stats(data, offsets)
+        assert list(zip(*(s[c].tolist() for c in quality_rules.COUNTS), strict=True)) == [brute_stats(t) for t in texts]
+        assert s["n_distinct_words"].tolist() == [len(set(t.split())) for t in texts]
+
+
+def test_span_groups_are_exact(monkeypatch):
+    texts = ["", "a", "a" * 7, "a" * 8, "a" * 9, "a" * 2000, "a" * 1999 + "b", "a" * 2000, "b" * 8, "", "a" * 9]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    end = np.cumsum([len(t) for t in texts])
+    start = end - [len(t) for t in texts]
+    want = [texts.index(t) for t in texts]
+    for _ in range(2):
+        first, group = tc.Spans(data).groups(start, end)
+        assert first[group].tolist() == want
+        monkeypatch.setattr(tc.Spans, "hash", lambda self, a, b, key=0: (b - a).astype(np.uint64) % np.uint64(3))  # hashes that collide
+
+
 def test_trees_and_single_tree_agree():
     model, r = bpe.from_ranks(RANKS), random.Random(5)
     for n in (2, 3, 17, 64, 65, 66, 200):
