@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sectorlake.llm.components import components, least_reached
 from sectorlake.llm.docstats import again
-from sectorlake.llm.session import Stored, cut
+from sectorlake.llm.session import Stored, columns, cut
 from sectorlake.llm.textcore import U64, Spans, chunks, mix, row_bounds, shingles, word_spans
 
 THRESHOLD = (4, 5)  # a similarity of 4/5, compared in whole numbers
@@ -275,11 +275,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that stay: one of each group; repeated rows of one id and text count once."""
-    columns = docs.columns
     found = classify(docs, id_col, text_col)
     first = found.where("kept").groupBy("id", "text_hash").agg(F.count("*").alias("times"))
     text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    tagged = docs.select(F.struct(*columns).alias("row"), F.col(id_col).cast("bigint").alias("id"), text.alias("text_hash"))
+    tagged = docs.select(F.struct(*columns(docs)).alias("row"), F.col(id_col).cast("bigint").alias("id"), text.alias("text_hash"))
     stay = tagged.join(first, ["id", "text_hash"])
     once, more = stay.where("times = 1"), stay.where("times > 1").dropDuplicates(["id", "text_hash"])
     null = tagged.where("id IS NULL").select("row")

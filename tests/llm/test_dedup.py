@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from sectorlake.llm import components, embedding_dedup, line_dedup, minhash_dedup
 from sectorlake.llm.session import Stored, cut
@@ -160,14 +162,57 @@ def test_near_duplicates_against_brute_force(spark):
 
 
 # lines
-def block_runs(lines):
-    for i in range(len(lines)):
-        n = 0
-        for j in range(i, len(lines)):
-            n += len(lines[j].split())
-            if n >= 50:
-                yield i, j + 1
-                break
+def brute_lines(rows, least=50, rare=20, rare_words=5):
+    """(id, text) -> new text and sources, by looking at every pair of documents."""
+    docs = sorted({(i, t) for i, t in rows if i is not None and t is not None})
+    lines = {d: [(k, tuple(x.split())) for k, x in enumerate(d[1].split("\n")) if x.split()] for d in docs}
+
+    def runs(x):
+        size = [len(w) for _, w in x]
+        for i in range(len(x)):
+            ends = [e for e in range(i + 1, len(x) + 1) if sum(size[i:e]) >= least]
+            starts = [s for s in range(i + 1) if sum(size[s : i + 1]) >= least]
+            yield from [(i, e) for e in ends[:1]] + [(s, i + 1) for s in starts[-1:]]
+
+    names, windows = {}, {}
+    for d, x in lines.items():
+        for w in {w for _, w in x}:
+            names.setdefault(w, []).append(d)
+        for r in {tuple(w for _, w in x[i:e]) for i, e in runs(x)}:
+            names.setdefault(r, []).append(d)
+        flat, at = [w for _, ws in x for w in ws], 0
+        for k, w in x:
+            for s in range(max(0, at + len(w) - least), min(at, len(flat) - least) + 1):
+                if len(w) < least:
+                    windows.setdefault((w, at - s, tuple(flat[s : s + least])), []).append((d, k))
+            at += len(w)
+    out = {d: (set(), set()) for d in docs}
+    for d, x in lines.items():
+        is_rare = lambda w: len(w) >= rare_words and len(names[w]) <= rare
+        firsts = {}
+        for w in {w for _, w in x}:
+            if is_rare(w) and names[w][0] < d:
+                firsts.setdefault(names[w][0], set()).add(w)
+        for i, e in runs(x):
+            if (f := names[tuple(w for _, w in x[i:e])][0]) < d:
+                firsts.setdefault(f, set())
+        b = [w for _, w in x]
+        for f, evident in firsts.items():
+            a = [w for _, w in lines[f]]
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                        n += 1
+                    if n and (sum(map(len, b[j : j + n])) >= least or evident & set(b[j : j + n])):
+                        out[d][0].update(k for k, _ in x[j : j + n])
+                        out[d][1].add(f[0])
+    for held in windows.values():
+        for d, k in held:
+            if held[0][0] < d:
+                out[d][0].add(k)
+                out[d][1].add(held[0][0][0])
+    return {d: ("\n".join(x for k, x in enumerate(d[1].split("\n")) if k not in gone), len(gone), sources) for d, (gone, sources) in out.items()}
 
 
 def test_patience_blocks():
@@ -180,21 +225,30 @@ def test_patience_blocks():
     assert line_dedup._increasing([(0, 3), (1, 1), (2, 2), (3, 5)]) == [(1, 1), (2, 2), (3, 5)]
 
 
-def test_aligned_finds_moved_and_repeated_passages():
-    r = random.Random(7)
-    lines = [r.getrandbits(62) for _ in range(12)]
-    words = np.full(12, 30)
-    moved = lines[6:] + lines[:6]
-    of = lambda x: line_dedup.aligned(np.array(lines), words, np.array(x), np.full(len(x), 30))
-    assert of(moved) == list(range(12))
-    assert of([1, 2, *lines[3:5], 4, lines[9], 5]) == [2, 3]  # a single line of 30 words is no block
-    assert of([lines[0], lines[1]] * 3) == list(range(6))
+@given(st.lists(st.integers(0, 3), max_size=12), st.lists(st.integers(0, 4), max_size=12))
+@settings(deadline=None, max_examples=300)
+def test_common_blocks_against_brute_force(a, b):
+    runs = {(j, n) for j in range(len(b)) for n in range(1, len(b) - j + 1) if any(a[i : i + n] == b[j : j + n] for i in range(len(a)))}
+    longest = {(j, n) for j, n in runs if (j, n + 1) not in runs and (j - 1, n + 1) not in runs}
+    assert sorted(line_dedup.moved(a, b)) == sorted(longest)
+    assert all(a[i : i + n] == b[j : j + n] for i, j, n in line_dedup.patience(a, b))
+    gone, _ = line_dedup.aligned(a, b, np.full(len(b), 10), {3}, 30)
+    assert {int(k) for k in np.flatnonzero(gone)} == {k for j, n in runs if n >= 3 or 3 in b[j : j + n] for k in range(j, j + n)}
 
 
-def test_line_dedup_against_brute_force(spark):
-    r = random.Random(8)
+def test_aligned_takes_long_and_regular_documents():
+    a, words = list(range(20000)), np.full(20000, 30)
+    assert line_dedup.aligned(a, a[::-1], words, set())[0].sum() == 0  # 30 words each: no block
+    assert line_dedup.aligned(a, a[10000:] + a[:10000], words, set())[0].all()
+    assert line_dedup.aligned(a, a[::-1], np.full(20000, 60), set())[0].all()
+    assert line_dedup.aligned([1, 2], [1, 2] * 10000, words, set())[0].all()
+    assert line_dedup.aligned([1, 2] * 10000, [2, 1] * 10000, words, set())[0].all()
+
+
+def line_corpus(seed):
+    r = random.Random(seed)
     line = lambda n: " ".join(f"w{r.randrange(99999)}" for _ in range(n))
-    hot, short, long_ = line(70), "Read more", [line(20) for _ in range(3)]
+    hot, short, long_, some = line(70), "Read more", [line(20) for _ in range(3)], [line(r.randint(1, 18)) for _ in range(30)]
     rows = []
     for i in range(60):
         text = [line(r.randint(3, 80)) for _ in range(r.randint(1, 6))]
@@ -203,37 +257,33 @@ def test_line_dedup_against_brute_force(spark):
         if i % 7 == 0:
             at = r.randrange(len(text) + 1)
             text[at:at] = long_
+        if i % 4 == 0:  # shared lines, in any order
+            for _ in range(r.randint(1, 6)):
+                at = r.randrange(len(text) + 1)
+                text[at:at] = some[(k := r.randrange(30)) : k + r.randint(1, 5)]
         if i % 5 == 0:
             text.insert(0, short)
         if i % 11 == 0:
             text.insert(1, "")
         rows.append((i, "\n".join(text)))
-    rows += [(60, rows[4][1]), (61, rows[5][1] + "\n\n"), (62, ""), (63, None), (64, "\n"), (65, hot), (3, rows[3][1])]
-    docs = spark.createDataFrame([(i, t, "c", 0) for i, t in rows] + [(None, hot, "n", 0)], "doc_id bigint, text string, gone string, n_removed_lines int")
-    got = line_dedup.dedup(docs).select("row.doc_id", "text", "n_removed_lines", "source_ids").collect()
+    a, b = ("".join("ab"[k.bit_count() & 1 ^ x] for k in range(2048)) for x in (0, 1))
+    rows += [(60, rows[4][1]), (61, rows[5][1] + "\n\n"), (62, ""), (63, None), (64, "\n"), (65, hot), (3, rows[3][1]), (66, a + " " + line(60)), (67, f"{line(9)}\n{b}"), (68, f"{line(9)}\n{a}")]
+    return rows, hot
+
+
+@pytest.mark.parametrize("least, rare, rare_words", [(50, 20, 5), (12, 2, 3), (30, 1, 5)])
+def test_line_dedup_against_brute_force(spark, least, rare, rare_words):
+    rows, hot = line_corpus(least)
+    docs = spark.createDataFrame([(i, t, "c", 0) for i, t in rows] + [(None, hot, "n", 0)], "doc_id bigint, text string, `gone.x` string, n_removed_lines int")
+    got = line_dedup.dedup(docs, least=least, rare=rare, rare_words=rare_words).select("row.doc_id", F.col("row.text").alias("old"), "text", "n_removed_lines", "source_ids").collect()
     assert len(got) == len(rows) + 1
-    new = {x.doc_id: x for x in got}
-    assert new[None].text == hot and new[63].text is None and new[62].text == "" and new[65].text == "" and new[60].text.strip() == "" or rows[4][1].count(" ") < 49
-    seen = {}
-    for i, t in sorted({(i, t) for i, t in rows if t is not None}):
-        every = t.split("\n")
-        at = [k for k, x in enumerate(every) if x.split()]
-        lines = [every[k].strip() for k in at]
-        must = {k for a, b in block_runs(lines) if tuple(lines[a:b]) in seen for k in range(a, b)}
-        gone = list(every)
-        left = new[i].text.split("\n")
-        for x in left:
-            if x in gone:
-                gone.remove(x)
-        assert new[i].n_removed_lines == len(every) - len(left) or new[i].text == ""
-        for k in must:
-            assert lines[k] in [g.strip() for g in gone], (i, k)
-        if not must:
-            assert new[i].text == t and not new[i].source_ids
+    want = brute_lines(rows, least, rare, rare_words)
+    assert sum(n for _, n, _ in want.values()) > 30
+    for x in got:
+        if x.doc_id is None or x.old is None:
+            assert x.text == x.old and not x.n_removed_lines and not x.source_ids
         else:
-            assert all(s < i for s in new[i].source_ids)
-        for a, b in block_runs(lines):
-            seen.setdefault(tuple(lines[a:b]), i)
+            assert (x.text, x.n_removed_lines, set(x.source_ids)) == want[x.doc_id, x.old]
     out = line_dedup.deduplicated(docs)
     assert out.columns == docs.columns and out.count() == len(got)
     assert line_dedup.dedup(docs.limit(0)).count() == 0
@@ -253,7 +303,7 @@ def test_passages_that_start_or_end_inside_a_line(spark):
         (6, f"{words(40)} {d}\n{c}\n{' '.join(c.split()[:3])} {words(40)}"),  # 21 + 25 + 3 words
         (7, f"{words(40)} x {d}\n{c}\n{' '.join(c.split()[:3])} {own[11].split()[0]} {words(40)}"),  # one word more, in common with 5 only
     ]
-    got = {x.doc_id: x for x in line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).select("row.doc_id", "text", "n_removed_lines", "source_ids").collect()}
+    got = {x.doc_id: x for x in line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), rare=0).select("row.doc_id", "text", "n_removed_lines", "source_ids").collect()}
     lines = rows[2][1].split("\n")
     assert (got[2].text, got[2].n_removed_lines, got[2].source_ids) == (f"{lines[0]}\n{lines[2]}", 1, [1])
     assert (got[7].n_removed_lines, got[7].source_ids) == (1, [5]) and c not in got[7].text.split("\n")
