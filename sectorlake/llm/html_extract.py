@@ -1,13 +1,15 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is cut into blocks of text at block-level tags.  A classifier gives each block a score (its place in the
-page, its words, punctuation and links) that becomes a terminal capacity; blocks that follow each other, and blocks
-under one parent, are joined by smoothness edges that weaken with their distance in the tree.  The minimum cut keeps
-the content side.  One pass over the rows, no shuffle; a task holds one Arrow batch.
+A page is cut into blocks of text at block-level tags; scripts, forms and what is hidden are no text.  A classifier gives each
+block a score (its words, punctuation, links and place in the page) that becomes a terminal capacity; blocks that follow each
+other, and blocks under one parent, are joined by smoothness edges that weaken with their distance in the tree.  The minimum
+cut keeps the content side.  No score is out of the edges' reach: short lines count as boilerplate alone and stay by their
+neighbours.  One pass over the rows, no shuffle; a task holds one Arrow batch.
 
 Defined cases: a null or empty page has an empty text; a page without tags is one block; an unclosed comment or
-script ends the page; repeated rows give repeated results; an empty table gives an empty result; columns other than
-those named are ignored.
+script ends the page; ties of the cut go to boilerplate; a very long page is one row, its work linear in its length but for the
+augmenting paths; repeated rows give repeated results; an empty table gives an empty result; columns other than those named
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,15 +24,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from sectorlake.llm.maxflow import min_cut_labels
 
+#: Attributes up to the end of a tag: a quote opens a value only after an equals sign.
+_ATTRS = r"(?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*))*+"
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|datalist|textarea|button|title)(?=[\s/>])(?P<rawattr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>(?:.*?</(?P=raw)\s*>|.*)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    rf"|<(?P<raw>script|style|noscript|template|svg|annotation|annotation-xml|iframe|object|canvas|audio|video|select|datalist|textarea|button|title)(?=[\s/>])(?P<rawattr>{_ATTRS})>(?:.*?</(?P=raw)\s*>|.*)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>{_ATTRS})>"
     r"|<(?:[!?/]|[a-zA-Z])[^>]*(?:>|$)",
     re.S | re.I,
 )
-#: Tags inside a line of text; any other tag ends the block.
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Tags inside a line of text, those of formulas included; any other tag but br ends the block.
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics mi mo mn ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle mpadded mphantom menclose merror".split()
+)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag that closes an open tag of these names, if no name of the second group lies between.
 _CLOSES = {
@@ -44,8 +51,8 @@ _CLOSES = {
 }
 _P_ENDS = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _SCOPE = frozenset("article aside body button div footer form header html li main nav section table td th".split())
-_BOILER_TAGS = frozenset("nav footer aside menu form dialog".split())
-_BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+_BOILER_TAGS = frozenset("nav footer aside menu dialog".split())
+_BOILER_ROLES = frozenset("navigation banner contentinfo complementary dialog alert alertdialog menu menubar toolbar".split())
 _MAIN_TAGS = frozenset(["article", "main"])
 _NAMES = re.compile(
     r"(?<![a-z])(?:ads?|adverts?|advertisement|advertising|adslot|adsense|adbox|sponsor(?:ed|s)?|promo(?:tion|tions|ted)?|banner|nav|navbar|navigation|menus?|submenu|topbar|header|masthead|footer|"
@@ -53,17 +60,18 @@ _NAMES = re.compile(
     r"breadcrumbs?|pager|pagination|comments?|commentlist|replies|responses|disqus|respond|login|search|toolbar|copyright|disclaimer|legal|skip-?link|tags|tagcloud|byline-ads?)(?![a-z])"
 )
 _ARTICLE_NAMES = re.compile(r"(?<![a-z-])(?:comments?|reply|replies|ads?|promo|sponsored|related)(?![a-z-])")
-_ATTR = re.compile(r"""\b(id|class|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _SENTENCE = re.compile(r"[.!?,;:…。！？、](?=\s|$)")
 
-STRONG = 10_000  # the score of a block that its place rules out (navigation, forms, hidden parts): more than all its edges
-PLACE = 200  # what the main element adds to its blocks and takes from others, if it holds all of the page's text
+SHORT = 100  # what a block owes before its words count: about 14 words, or 8 with a full stop
+PLACED = 600  # what a place such as a navigation or a footer takes
 NAMED = 500  # what a boilerplate name, or a header outside the main element, takes: about a long block's words
-ADJACENT, SIBLING = 90, 45  # smoothness of blocks that follow each other, and of blocks under one parent
+MAIN = 90  # what the main element adds to its blocks and takes from others, if it holds all of the page's text
+ADJACENT, SIBLING = 200, 80  # smoothness of blocks that follow each other, and of blocks under one parent
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "depth", "boiler", "main", "soft", "has_main")
+    __slots__ = ("tag", "parent", "depth", "boiler", "main", "soft", "has_main", "hidden")
 
     def __init__(self, tag: str, parent: "_Node | None", attrs: str):
         self.tag, self.parent = tag, parent
@@ -72,6 +80,7 @@ class _Node:
         self.main = tag in _MAIN_TAGS
         self.soft = False  # boilerplate by a name only
         self.has_main = False
+        self.hidden = tag == "form" or (parent is not None and parent.hidden)
         if len(attrs) > 5:
             for name, value in _ATTR.findall(attrs):
                 name, value = name.lower(), value.strip("\"'").lower()
@@ -81,10 +90,11 @@ class _Node:
                     elif tag not in ("html", "body") and _NAMES.search(value.replace("_", "-")):
                         self.soft = True
                 elif name == "role":
+                    self.hidden |= value in ("form", "search")
                     self.boiler |= value in _BOILER_ROLES
                     self.main |= value in ("main", "article")
                 elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                    self.boiler = True
+                    self.hidden = True
 
 
 class Block:
@@ -107,7 +117,7 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
-            if text:
+            if text and not owner.hidden:
                 out.append(Block(text, owner, links))
         links = 0
 
@@ -144,6 +154,10 @@ def blocks(html: str) -> list[Block]:
             continue
         if tag == "body":
             head = False
+        if tag == "br":
+            if parts:
+                parts.append(" ")
+            continue
         if tag in _INLINE:
             if tag == "a":
                 link_depth = 0 if m["end"] else 1
@@ -175,7 +189,7 @@ def blocks(html: str) -> list[Block]:
 
 
 def place(block: Block) -> tuple[bool, bool, bool]:
-    """Whether its place rules the block out, whether it has a boilerplate name, and whether it is in a main element."""
+    """Whether the block's place is one of boilerplate, whether it has a boilerplate name, and whether it is in a main element."""
     at, main, header, soft = block.node, False, False, False
     while at is not None:
         if at.boiler:
@@ -190,14 +204,14 @@ def place(block: Block) -> tuple[bool, bool, bool]:
 def scores(found: list[Block]) -> list[int]:
     """The classifier: positive for content.  A main element counts by its share of the text that may be content."""
     places = [place(b) for b in found]
-    size = [0 if out or named else len(b.text) for b, (out, named, _) in zip(found, places, strict=True)]
-    weight = PLACE * sum(n for n, (*_, main) in zip(size, places, strict=True) if main) // max(1, sum(size))
-    return [-STRONG if out else _words(b) - NAMED * named + (weight if main else -weight) for b, (out, named, main) in zip(found, places, strict=True)]
+    size = [0 if placed or named else len(b.text) for b, (placed, named, _) in zip(found, places, strict=True)]
+    weight = MAIN * sum(n for n, (*_, main) in zip(size, places, strict=True) if main) // max(1, sum(size))
+    return [_words(b) - PLACED * placed - NAMED * named + (weight if main else -weight) for b, (placed, named, main) in zip(found, places, strict=True)]
 
 
 def _words(block: Block) -> int:
     words = block.text.count(" ") + 1
-    value = min(words, 60) * 6 - 40
+    value = min(words, 60) * 6 - SHORT
     value += 40 * sum(1 for _ in islice(_SENTENCE.finditer(block.text), 3))
     value -= 300 * min(block.links, len(block.text)) // max(1, len(block.text))
     return value + 60 * (block.node.tag in ("h1", "h2", "h3"))
@@ -235,8 +249,8 @@ def main_text(html: str | None) -> str:
     if not found:
         return ""
     keep = min_cut_labels(scores(found), smoothness(found))
-    if not any(keep):  # a page of scraps: all that its place does not rule out
-        keep = [not (out or named) for out, named, _ in map(place, found)]
+    if not any(keep):  # a page of scraps alone: all that neither place nor name speaks against
+        keep = [not (placed or named) for placed, named, _ in map(place, found)]
     return " ".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 

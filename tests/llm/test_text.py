@@ -225,7 +225,44 @@ def test_html_place_is_no_verdict():
     page = f'<article><p>{long_[0]}</p><p><a href="/">Some words of link</a></p><p>{long_[1]}</p></article><div><p>Other words, few.</p></div>'
     value = html_extract.scores(html_extract.blocks(page))
     assert value[1] < 0 and html_extract.main_text(page) == f"{long_[0]} Some words of link {long_[1]}"
-    assert all(abs(v) < html_extract.STRONG // 2 for v in value)
+    # words, names and places are of the edges' size: none is out of reach
+    assert all(abs(v) <= 1500 for v in html_extract.scores(html_extract.blocks(page + "<nav>" + " ".join(f"<a>{k}</a>" for k in range(99)) + "</nav>")))
+
+
+def test_html_grammar_and_kinds_of_text():
+    for html, want in (
+        ("<article><p title=it's>First part, of it.</p><p>Second paragraph it's here, at last.</p></article>", "First part, of it. Second paragraph it's here, at last."),
+        ("<article><p>Sum <math><mrow><mi>x</mi><mo>+</mo><mn>1</mn></mrow><annotation>x+1</annotation></math> is here, and more.</p></article>", "Sum x+1 is here, and more."),
+        ("<article><p>Roses are red,<br>violets<br/>blue.</p></article>", "Roses are red, violets blue."),
+        ('<article><p data-id="ad" title="class=ad">Kept in full, it is no advert.</p></article>', "Kept in full, it is no advert."),
+        ("<article><p>Text of a page, quite short.</p><form><p>" + "Long words of a form, in sentences. " * 9 + "</p></form><p hidden>" + "Hidden words, in sentences. " * 9 + "</p></article>", "Text of a page, quite short."),
+        ("<p a=\"x>y\" b='>' c = z>q", "q"),
+        ("<main>" + "<p>w</p>" * 30 + "<p>" + "word, " * 70 + "</p></main>", " ".join(["w"] * 30 + ["word,"] * 70)),
+    ):
+        assert html_extract.main_text(html) == want, html
+
+
+def test_extract_against_brute_force(spark):
+    r, pages, flips = random.Random(2), [], 0
+    text = lambda: " ".join(r.choice(["word", "some,", "end.", "<a href=x>link</a>", "it's"]) for _ in range(r.choice([1, 2, 5, 14, 30])))
+    for k in range(120):
+        html = ""
+        for _ in range(r.randint(1, 5)):
+            tag = r.choice(["article", "main", "div", 'div class="ad"', "aside", "nav", "ul", 'div id="comments"', "header"])
+            html += f"<{tag}>" + "".join(f"<{t}>{text()}</{t}>" for t in [r.choice(["p", "li", "h2", "div"]) for _ in range(r.randint(1, 3))]) + f"</{tag.split()[0]}>" * r.randint(0, 1)
+        pages.append((k, "u", html))
+    got = {x.page_id: (x.text, x.n_chars) for x in html_extract.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    for k, _, html in pages:
+        found = html_extract.blocks(html)
+        score, edges, n = html_extract.scores(found), html_extract.smoothness(found), len(found)
+        label = np.array([[m >> i & 1 for i in range(n)] for m in range(1 << n)], bool)
+        cost = np.abs(score) @ (label != (np.array(score) > 0)).T + sum(c * (label[:, a] != label[:, b]) for (a, b), c in edges.items())
+        best = min(np.flatnonzero(cost == cost.min()).tolist(), key=lambda m: int(m).bit_count())
+        keep = label[best] if best else [not (placed or named) for placed, named, _ in map(html_extract.place, found)]
+        flips += int((label[best] != (np.array(score) > 0)).sum())
+        want = " ".join(b.text for b, x in zip(found, keep, strict=True) if x)
+        assert got[k] == (want, len(want))
+    assert flips > 20
 
 
 def test_licenses(spark):
