@@ -169,18 +169,44 @@ def test_quality_rules(spark):
     assert quality_rules.judge(docs.limit(0)).count() == 0 and quality_rules.survivors(docs.limit(0)).count() == 0
 
 
-def test_em_finds_the_rules_accuracies():
-    r = np.random.default_rng(0)
-    good = r.random(20000) < 0.8
-    counts = {}
-    hit = r.random((20000, 8))
-    vote = np.where(hit < 0.7, np.where(good[:, None], 2, 0), np.where(hit < 0.9, 1, np.where(good[:, None], 0, 2)))
-    for code in (vote @ 3 ** np.arange(8)).tolist():
-        counts[code] = counts.get(code, 0) + 1
+def cast(share, n=20000, wrong=0.1, seed=0):
+    """Patterns of independent rules: 0.7 right, ``wrong`` wrong, the rest abstain; and which documents are good."""
+    r, k = np.random.default_rng(seed), len(quality_rules.RULES)
+    good, hit = r.random(n) < share, r.random((n, k))
+    vote = np.where(hit < 0.7, np.where(good[:, None], 2, 0), np.where(hit < 1 - wrong, 1, np.where(good[:, None], 0, 2)))
+    return vote @ 3 ** np.arange(k), good
+
+
+@pytest.mark.parametrize("share", [0.8, 0.3])
+def test_em_finds_the_rules_accuracies(share):
+    code, good = cast(share)
+    counts = dict(zip(*(x.tolist() for x in np.unique(code, return_counts=True)), strict=True))
     posterior, table, prior = quality_rules.estimate(counts)
-    kept = np.array([posterior[c] >= 0.5 for c in (vote @ 3 ** np.arange(8)).tolist()])
-    assert (kept == good).mean() > 0.97 and abs(prior - 0.8) < 0.02 and np.abs(table[:, 1, 2] - 0.7).max() < 0.03
+    kept = np.array([posterior[c] >= 0.5 for c in code.tolist()])
+    assert (kept == good).mean() > 0.99 and abs(prior - share) < 0.02 and np.abs(table[:, 1, 2] - 0.7).max() < 0.03
+    assert all(abs(a - 0.875) < 0.03 for a in quality_rules.accuracies(table, prior).values())
     assert quality_rules.estimate({})[0] == {}
+    # every start ends at the same place, and no single vote decides
+    vote = np.array(sorted(counts))[:, None] // 3 ** np.arange(len(quality_rules.RULES)) % 3
+    for start in (np.full(len(vote), 0.5) + 0.01 * (vote - 1).mean(1), np.where((vote == 0).any(1), 0.1, 0.9)):
+        cast_ = (vote[:, :, None] == [0, 1, 2]).reshape(len(vote), -1).astype(float)
+        again = quality_rules._maximise(cast_, np.array([counts[c] for c in sorted(counts)], float), start, 500, 1e-9)[0]
+        assert np.abs(again - [posterior[c] for c in sorted(counts)]).max() < 1e-4
+    against = np.array([(c // 3 ** np.arange(len(quality_rules.RULES)) % 3 == 0).any() for c in code])
+    assert (kept & against).sum() > 0.5 * kept.sum()
+
+
+def test_one_wrong_vote_is_outvoted(spark):
+    """A good document with many figures, which the rule for digits votes against, is kept."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    good = " ".join(x.text for x in rows if x.doc_id == min(y.doc_id for y in quality_rules.survivors(spark.createDataFrame(rows)).collect()))
+    words = good.split()[:400]
+    text = " ".join(w if k % 6 else "1987" for k, w in enumerate(words)) + "."
+    *_, (_, _, data, offsets) = tc.chunks(pa.array([text]))
+    vote = dict(zip([n for n, *_ in quality_rules.RULES], quality_rules.votes(docstats.stats(data, offsets))[0].tolist(), strict=True))
+    assert vote["digits"] == -1 and list(vote.values()).count(-1) == 1
+    got = quality_rules.judge(spark.createDataFrame([*rows, (10**6, text)], "doc_id bigint, text string")).where("doc_id = 1000000").collect()
+    assert [r.kept for r in got] == [True]
 
 
 @given(st.lists(st.integers(-9, 9), min_size=1, max_size=8), st.data())
