@@ -1,12 +1,15 @@
 """What the toxicity and quality classifiers share: hashed terms, the labelled sample, and scoring.
 
-Fitting reads a bounded sample of labelled rows (``sample_rows``, the smallest hashes of doc_id among the rows that may
-be learned from); the driver gets the hashed terms of these texts alone.  Scoring is one pass over all rows without a
-shuffle; the model that it sends to the executors has at most ``terms`` features.
+Fitting reads a bounded sample of labelled rows (``sample_rows``, the smallest hashes of doc_id among the rows that may be learned
+from).  Terms are counted on the executors; those that ``MIN_TEXTS`` texts of the sample hold are features, the ``TERMS`` most
+frequent ones whatever their label.  The driver gets their counts and, for each text of the sample, the features that it holds:
+at most ``TERMS`` bits, however long the text.  Scoring is one pass over all rows without a shuffle; the model that it sends to the
+executors has the features that the fit left a weight or factors.
 
 Defined cases: a null or empty text has no terms and gets the bias's score (with the structure features, those of an
-empty text); a label that is null is no label; of repeated labels of a doc_id the larger counts; without labels, or
-with one class, every score is a constant; repeated rows get equal scores; an empty table gives an empty result.
+empty text); a very long text is one row, its work linear; a label that is null is no label; of repeated labels of a doc_id the
+larger counts, and of repeated rows of one the first by its terms; without labels, or with one class, every score is a constant;
+repeated rows and ties get equal scores; an empty table gives an empty result; columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from sectorlake.llm import fm
 from sectorlake.llm.docstats import stats
+from sectorlake.llm.session import Stored
 from sectorlake.llm.textcore import Spans, chunks
 
 SAMPLE_ROWS = 12_000
-TERMS = 4096
+TERMS = 1 << 16  # features for terms at most
+MIN_TEXTS = 5
 _BYTE = np.arange(256)
 _WORD = ((_BYTE | 32) >= 97) & ((_BYTE | 32) <= 122) | (_BYTE >= 128)
 _FOLD = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
@@ -91,7 +96,7 @@ def shapes(s: dict[str, np.ndarray]) -> np.ndarray:
 
 @dataclass
 class Model:
-    names: np.ndarray  # the chosen hashes, sorted
+    names: np.ndarray  # the hashes of terms with a weight or factors, sorted
     machine: fm.Machine
     prefixes: tuple[int, ...] = ()
     edges: np.ndarray | None = None  # bin edges of the shapes
@@ -132,49 +137,84 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, sample_rows: int, structure: bool, prefixes: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Labels, distinct hashes and shapes of the labelled sample."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, sample_rows: int, structure: bool, prefixes: tuple[int, ...]) -> Stored:
+    """(y, terms, shape) of the labelled sample, one row for each doc_id: distinct hashes and structure statistics as bytes."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col))
     few = usable.groupBy(id_col).agg(F.max(label).cast("int").alias("_y")).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in chunks(batch.column(1)):
+            for lo, hi, data, offsets in chunks(batch.column(2)):
                 rows, hashes = terms(data, offsets, prefixes)
                 rows, raw = leveled(rows, hashes, np.bincount(rows, minlength=hi - lo))
                 cut = np.searchsorted(rows, np.arange(hi - lo + 1))
                 shape = shapes(stats(data, offsets)) if structure else np.zeros((hi - lo, 0))
-                out = [batch.column(0).slice(lo, hi - lo), pa.array([raw[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([x.tobytes() for x in shape], pa.binary())]
-                yield pa.RecordBatch.from_arrays(out, names=["y", "terms", "shape"])
+                own = [batch.column(k).slice(lo, hi - lo) for k in (0, 1)]
+                out = [*own, pa.array([raw[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([x.tobytes() for x in shape], pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, names=["id", "y", "terms", "shape"])
 
-    # at most sample_rows rows of two numbers: the documents stay where they are
+    # at most sample_rows rows of two numbers are broadcast: the documents stay where they are
     joined = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(few), id_col)
-    got = joined.select("_y", "_text").mapInArrow(run, "y int, terms binary, shape binary").toArrow()
-    held = list(zip(*(got[c].to_pylist() for c in ("terms", "shape", "y")), strict=True))
-    order = sorted(range(len(held)), key=held.__getitem__)  # the fit does not depend on how the rows came in
-    y = np.array([held[i][2] for i in order], float)
-    sets = [np.frombuffer(held[i][0], np.uint32) for i in order]
-    shape = np.array([np.frombuffer(held[i][1]) for i in order])
-    return y, sets, shape
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", structure: bool = False, sample_rows: int = SAMPLE_ROWS, most: int = TERMS, positive_weight: float = 1.0, prefixes: tuple[int, ...] = ()) -> Model:
-    y, sets, shape = sample(docs, labels, label, id_col, text_col, sample_rows, structure, prefixes)
-    side = lambda k: np.concatenate([s for s, v in zip(sets, y, strict=True) if v == k] or [np.empty(0, np.uint32)])
-    names = fm.chosen(side(1), side(0), int((y == 1).sum()), int((y == 0).sum()), most)
-    picked = [at[names[np.minimum(at, len(names) - 1)] == s].astype(np.int64) if len(names) else np.empty(0, np.int64) for s in sets for at in [np.searchsorted(names, s)]]
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = joined.select(id_col, "_y", "_text").mapInArrow(run, f"id {kind}, y int, terms binary, shape binary")
+    return Stored(rows.groupBy("id").agg(F.min(F.struct("terms", "shape", "y")).alias("row")).select("row.*"))
+
+
+def frequent(rows: DataFrame, most: int, least: int) -> np.ndarray:
+    """The hashes (sorted) that ``least`` rows hold: the ``most`` most frequent ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, times = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(times.astype(np.int64))], names=["name", "times"])
+
+    counted = rows.select("terms").mapInArrow(run, "name bigint, times bigint").groupBy("name").agg(F.sum("times").alias("times"))
+    got = counted.where(F.col("times") >= least).orderBy(F.desc("times"), "name").limit(most).select("name").toArrow()
+    return np.sort(got["name"].to_numpy().astype(np.uint32))
+
+
+def held(rows: DataFrame, names: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Labels, features and shapes of the sample's rows, in an order that does not depend on how they came in."""
+    width = -(-max(1, len(names)) // 8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for raw in batch.column(1).to_pylist():
+                hashes = np.frombuffer(raw, np.uint32)
+                at = np.searchsorted(names, hashes)
+                at = at[names[np.minimum(at, len(names) - 1)] == hashes] if len(names) else at[:0]
+                bits = np.zeros(8 * width, bool)
+                bits[at] = True
+                out.append(b"n" + at.astype("<u4").tobytes() if 4 * len(at) < width else b"b" + np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], names=["y", "features", "shape"])
+
+    got = rows.select("y", "terms", "shape").mapInArrow(run, "y int, features binary, shape binary").toArrow()
+    found = sorted(zip(*(got[c].to_pylist() for c in ("features", "shape", "y")), strict=True))
+    unpack = lambda f: np.flatnonzero(np.unpackbits(np.frombuffer(f, np.uint8, offset=1))) if f[:1] == b"b" else np.frombuffer(f, "<u4", offset=1).astype(np.int64)
+    return np.array([y for *_, y in found], float), [unpack(f) for f, *_ in found], np.array([np.frombuffer(s) for _, s, _ in found])
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", structure: bool = False, sample_rows: int = SAMPLE_ROWS, most: int = TERMS, least: int = MIN_TEXTS, positive_weight: float = 1.0, prefixes: tuple[int, ...] = ()) -> Model:
+    rows = sample(docs, labels, label, id_col, text_col, sample_rows, structure, prefixes)
+    names = frequent(rows.df, most, least)
+    y, picked, shape = held(rows.df, names)
+    rows.drop()
     edges, n = None, len(names)
     if structure:
         edges = np.quantile(shape, np.arange(1, BINS) / BINS, axis=0).T if len(shape) else np.zeros((len(SHAPES), BINS - 1))
         picked = [np.concatenate([p, n + b]) for p, b in zip(picked, binned(shape, edges), strict=True)] if len(shape) else picked
         n += len(SHAPES) * BINS
-    return Model(names, fm.fit(picked, y, n, positive_weight=positive_weight), prefixes, edges)
+    machine = fm.fit(picked, y, n, positive_weight=positive_weight)
+    kept = np.union1d(np.union1d(np.flatnonzero(machine.weight), machine.factored), np.arange(len(names), n)).astype(np.int64)
+    machine.factored, machine.weight = np.searchsorted(kept, machine.factored), machine.weight[kept]
+    return Model(names[kept[kept < len(names)]], machine, prefixes, edges)
 
 
 def apply(docs: DataFrame, model: Model, threshold: float, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id_col, kept columns, held_out, score, predicted."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # at most ``terms`` features
+    sent = spark.sparkContext.broadcast(model)  # at most TERMS features
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [id_col, *keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +229,7 @@ def apply(docs: DataFrame, model: Model, threshold: float, id_col: str = "doc_id
 
 def below(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, with a score under the threshold."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most ``terms`` features
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS features
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:

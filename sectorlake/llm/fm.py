@@ -1,6 +1,11 @@
 """Factorisation machine over sets of features, with logistic loss.
 
 score = w0 + sum w_i + 1/2 sum_f ((sum v_if)^2 - sum v_if^2), the sums over the features of a document: linear time.
+
+Fitting goes in three steps.  The linear weights are fitted over all features with a lasso penalty, so that most become zero.  Then
+each pair of the features that are frequent or have large weights is tested: how much more often the pair stands in documents whose
+label the weights miss than chance would have it.  Features of such pairs, whatever their own weights, get factors, and weights and
+factors are fitted together.
 """
 
 from __future__ import annotations
@@ -9,82 +14,106 @@ from dataclasses import dataclass
 
 import numpy as np
 
+PAIRED = 2048  # features whose pairs are tested: half the most frequent ones, half those with the largest weights
+FACTORED = 256  # features with factors at most
+EVIDENCE = 4.0  # standard deviations that a pair must stand out by
+
 
 @dataclass
 class Machine:
     bias: float
     weight: np.ndarray  # (features,)
-    factor: np.ndarray  # (features, rank)
+    factored: np.ndarray  # the features with factors, sorted
+    factor: np.ndarray  # (factored features, rank)
 
     def raw(self, rows: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
         """rows: sorted row numbers, one for each feature of a document; a document may have none."""
-        out = np.full(n, self.bias)
-        if len(rows):
-            begin = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-            v = self.factor[features]
-            total = np.add.reduceat(v, begin, axis=0)
-            square = np.add.reduceat(v * v, begin, axis=0)
-            out[rows[begin]] += np.add.reduceat(self.weight[features], begin) + 0.5 * (total * total - square).sum(1)
-        return out
+        out = self.bias + np.bincount(rows, self.weight[features], n)
+        pairs, _ = self.pairs(rows, features, n)
+        return out + pairs
+
+    def pairs(self, rows: np.ndarray, features: np.ndarray, n: int) -> tuple[np.ndarray, tuple]:
+        """The part of pairs, by the identity, and what its gradient needs: rows, factored features, sums."""
+        if not len(self.factored):
+            return np.zeros(n), (np.empty(0, np.int64), np.empty(0, np.int64), np.zeros((n, self.factor.shape[1])))
+        at = np.minimum(np.searchsorted(self.factored, features), len(self.factored) - 1)
+        own = self.factored[at] == features
+        rows, at = rows[own], at[own]
+        total = np.stack([np.bincount(rows, c[at], n) for c in self.factor.T], 1)
+        square = np.bincount(rows, (self.factor**2).sum(1)[at], n)
+        return 0.5 * ((total * total).sum(1) - square), (rows, at, total)
 
     def score(self, rows: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(rows, features, n), -30, 30)))
 
 
-def fit(sets: list[np.ndarray], y: np.ndarray, n_features: int, rank: int = 8, epochs: int = 30, rate: float = 0.1, l2: float = 1e-4, positive_weight: float = 1.0, seed: int = 7, batch: int = 256) -> Machine:
-    """Adagrad over mini-batches, in an order that the seed fixes."""
-    rng = np.random.default_rng(seed)
-    m = Machine(0.0, np.zeros(n_features), rng.normal(0, 0.01, (n_features, rank)))
+def fit(sets: list[np.ndarray], y: np.ndarray, n_features: int, rank: int = 8, steps: int = 400, epochs: int = 10, rate: float = 0.1, lasso: float = 5e-4, positive_weight: float = 1.0, seed: int = 7, batch: int = 256) -> Machine:
+    """Adagrad over mini-batches, in an order that the seed fixes: ``epochs`` of each of both fits, or ``steps`` if that is more."""
+    m = Machine(0.0, np.zeros(n_features), np.empty(0, np.int64), np.zeros((0, rank)))
     if not len(y) or y.min() == y.max():  # one class only: a constant
-        m.bias, m.factor[:] = (0.0 if not len(y) else 4.0 if y[0] else -4.0), 0
+        m.bias = 0.0 if not len(y) else 4.0 if y[0] else -4.0
         return m
-    g0, gw, gv = 1e-8, np.full(n_features, 1e-8), np.full((n_features, rank), 1e-8)
+    rng = np.random.default_rng(seed)
+    count = np.array([len(s) for s in sets])
+    begin, flat = np.cumsum(count) - count, np.concatenate(sets).astype(np.int64)
     share = y.mean()
     m.bias = float(np.log(share / (1 - share)))
     cost = np.where(y == 1, positive_weight, 1.0)
-    for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for lo in range(0, len(order), batch):
-            some = order[lo : lo + batch]
-            count = np.array([len(sets[i]) for i in some])
-            features = np.concatenate([sets[i] for i in some])
-            rows = np.repeat(np.arange(len(some)), count)
-            p = m.score(rows, features, len(some))
-            error = (p - y[some]) * cost[some] / len(some)
-            m.bias -= rate * (g := error.sum()) / np.sqrt(g0 := g0 + g * g)
-            if not len(features):
-                continue
-            total = np.zeros((len(some), rank))
-            has = np.flatnonzero(count)
-            v = m.factor[features]
-            total[has] = np.add.reduceat(v, (np.cumsum(count) - count)[has], axis=0)
-            e = error[rows]
-            grad_v = e[:, None] * (total[rows] - v)
-            used, back = np.unique(features, return_inverse=True)
-            by = np.argsort(back, kind="stable")
-            begin = np.searchsorted(back[by], np.arange(len(used)))
-            dw = np.add.reduceat(e[by], begin) + l2 * m.weight[used]
-            dv = np.add.reduceat(grad_v[by], begin, axis=0) + l2 * m.factor[used]
-            gw[used] += dw * dw
-            gv[used] += dv * dv
-            m.weight[used] -= rate * dw / np.sqrt(gw[used])
-            m.factor[used] -= rate * dv / np.sqrt(gv[used])
+    g0, gw, gv = 1e-8, np.full(n_features, 1e-8), np.zeros((0, rank))
+    for joint in (False, True):
+        if joint:
+            m.factored = _interacting(m, flat, count, y, cost)
+            if not len(m.factored):
+                break
+            m.factor = rng.normal(0, 0.01, (len(m.factored), rank))
+            gv = np.full(m.factor.shape, 1e-8)
+        for _ in range(max(epochs, -(-steps * batch // len(y)))):
+            order = rng.permutation(len(y))
+            for lo in range(0, len(order), batch):
+                some = order[lo : lo + batch]
+                k = count[some]
+                features = flat[np.repeat(begin[some] - np.cumsum(k) + k, k) + np.arange(k.sum())]
+                rows = np.repeat(np.arange(len(some)), k)
+                pairs, (own, at, total) = m.pairs(rows, features, len(some))
+                z = m.bias + np.bincount(rows, m.weight[features], len(some)) + pairs
+                error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some]) * cost[some] / len(some)
+                m.bias -= rate * (g := error.sum()) / np.sqrt(g0 := g0 + g * g)
+                dw = np.bincount(features, error[rows], n_features)
+                gw += dw * dw
+                step = rate / np.sqrt(gw)
+                m.weight -= step * dw
+                m.weight = np.sign(m.weight) * np.maximum(np.abs(m.weight) - step * lasso * (dw != 0), 0)
+                for f in range(rank if joint else 0):
+                    d = np.bincount(at, error[own] * (total[own, f] - m.factor[at, f]), len(m.factored))
+                    gv[:, f] += d * d
+                    m.factor[:, f] -= rate * d / np.sqrt(gv[:, f])
     return m
 
 
-def chosen(positive: np.ndarray, negative: np.ndarray, n_positive: int, n_negative: int, most: int, least: float = 12.0) -> np.ndarray:
-    """Hashes (sorted) whose presence goes with the class: chi-squared of at least ``least``, the ``most`` largest.
-
-    positive, negative: the distinct hashes of each document of that class, end to end.
-    """
-    every, counts = np.unique(positive, return_counts=True)
-    other, other_counts = np.unique(negative, return_counts=True)
-    names = np.union1d(every, other)
-    a, b = np.zeros(len(names)), np.zeros(len(names))
-    a[np.searchsorted(names, every)] = counts
-    b[np.searchsorted(names, other)] = other_counts
-    n = n_positive + n_negative
-    c, d = n_positive - a, n_negative - b
-    chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * n_positive * n_negative, 1)
-    order = np.lexsort((names, -chi))[:most]
-    return np.sort(names[order[chi[order] >= least]])
+def _interacting(m: Machine, flat: np.ndarray, count: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The features (sorted) of the pairs that stand out most in what the weights miss."""
+    n_features = len(m.weight)
+    often = np.lexsort((np.arange(n_features), -np.bincount(flat, minlength=n_features)))[: PAIRED // 2]
+    large = np.lexsort((np.arange(n_features), -np.abs(m.weight)))[: PAIRED // 2]
+    asked = np.union1d(often, large)
+    place = np.full(n_features, -1)
+    place[asked] = np.arange(len(asked))
+    rows = np.repeat(np.arange(len(y)), count)
+    error = ((m.score(rows, flat, len(y)) - y) * cost).astype(np.float32)
+    at = place[flat]
+    rows, at = rows[at >= 0], at[at >= 0]
+    sums, squares, held = (np.zeros((len(asked), len(asked)), np.float32) for _ in range(3))
+    cuts = np.searchsorted(rows, np.arange(0, len(y) + 1024, 1024))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        x = np.zeros((min(1024, len(y) - 1024 * k), len(asked)), np.float32)
+        x[rows[a:b] - 1024 * k, at[a:b]] = 1
+        e = error[1024 * k : 1024 * k + len(x), None]
+        sums += (x * e).T @ x
+        squares += (x * e * e).T @ x
+        held += x.T @ x
+    out = np.abs(sums) / np.sqrt(squares + 1e-6)
+    out[held < 10] = 0  # too rare to tell
+    np.fill_diagonal(out, 0)
+    best = out.max(1)
+    order = np.lexsort((asked, -best))[:FACTORED]
+    return np.sort(asked[order[best[order] >= EVIDENCE]])

@@ -9,12 +9,14 @@ from sectorlake.llm import classifiers, fm, quality_classifier, textcore as tc,
 
 def test_score_is_the_pairwise_sum():
     r = np.random.default_rng(1)
-    m = fm.Machine(0.3, r.normal(size=9), r.normal(size=(9, 4)))
+    factor = r.normal(size=(9, 4))
+    factor[[1, 5]] = 0
+    m = fm.Machine(0.3, r.normal(size=9), np.array([0, 2, 3, 4, 6, 7, 8]), factor[[0, 2, 3, 4, 6, 7, 8]])
     sets = [np.array([0, 3, 5]), np.array([], int), np.array([8])]
     rows = np.repeat(np.arange(3), [len(s) for s in sets])
     got = m.raw(rows, np.concatenate(sets).astype(int), 3)
     for s, g in zip(sets, got, strict=True):
-        pairs = sum(m.factor[i] @ m.factor[j] for a, i in enumerate(s) for j in s[a + 1 :])
+        pairs = sum(factor[i] @ factor[j] for a, i in enumerate(s) for j in s[a + 1 :])
         assert g == pytest.approx(0.3 + m.weight[s.astype(int)].sum() + pairs)
 
 
@@ -28,6 +30,50 @@ def test_learns_an_interaction_that_no_weight_shows():
     assert ((m.score(rows, np.concatenate(sets[2000:]), 1000) > 0.5) == (y[2000:] == 1)).mean() > 0.98
 
 
+def test_no_pair_stands_out_by_chance():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 60, 12)) for _ in range(2000)]
+    y = np.array([float((3 in s) or (5 in s)) for s in sets])
+    m = fm.fit(sets, y, 60)
+    rows = np.repeat(np.arange(2000), [len(s) for s in sets])
+    assert ((m.score(rows, np.concatenate(sets), 2000) > 0.5) == (y == 1)).mean() > 0.98
+
+
+def test_toxicity_learns_pairs_alone(spark):
+    """An insult is toxic only with a group, and a group only with an insult: no term goes with the label by itself."""
+    r = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in ("n", "r", "st", "")]
+    docs, labels = [], []
+    for k in range(3000):
+        text = [r.choice(words) for _ in range(r.randint(15, 40))]
+        insult, group = r.random() < 0.5, r.random() < 0.5
+        for is_, word in ((insult, "zork"), (group, "vumpians")):
+            if is_:
+                text.insert(r.randrange(len(text)), word)
+        docs.append((k, " ".join(text)))
+        labels.append((k, int(insult == group)))
+    docs, labels = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    truth = dict(labels.collect())
+    held = [(r.score > 0.5, truth[r.doc_id] == 1) for r in toxicity.score(docs, model).collect() if r.held_out]
+    assert len(held) > 900 and np.mean([a == b for a, b in held]) > 0.9
+
+
+def test_sample_does_not_grow_with_repeats_or_text(spark):
+    docs, labels = corpus(spark, 200)
+    one = classifiers.sample(docs, labels, "toxic", "doc_id", "text", 100, True, (4,))
+    more = classifiers.sample(docs.unionByName(docs).unionByName(docs), labels.unionByName(labels), "toxic", "doc_id", "text", 100, True, (4,))
+    key = lambda s: sorted((bytes(r.terms), bytes(r.shape), r.y) for r in s.df.collect())
+    assert key(one) == key(more) and len(key(one)) <= 100
+    long = spark.createDataFrame([(k, " ".join(chr(97 + k) + chr(97 + j % 26) + chr(97 + j // 26 % 26) + chr(97 + j // 676 % 9) for j in range(60000)), 1) for k in range(6)], "doc_id bigint, text string, toxic int")
+    rows = classifiers.sample(long, long, "toxic", "doc_id", "text", 10, False, ())
+    names = classifiers.frequent(rows.df, 64, 1)
+    y, sets, _ = classifiers.held(rows.df, names)
+    assert len(names) == 64 and all(len(s) <= 64 for s in sets)
+    for s in (one, more, rows):
+        s.drop()
+
+
 def test_one_class_and_nothing():
     assert fm.fit([], np.array([]), 3).score(np.empty(0, int), np.empty(0, int), 2).tolist() == [0.5, 0.5]
     assert fm.fit([np.array([1])], np.array([1.0]), 3).score(np.empty(0, int), np.empty(0, int), 1)[0] > 0.9
