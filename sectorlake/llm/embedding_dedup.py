@@ -25,17 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sectorlake.llm.components import components, least_reached
 from sectorlake.llm.session import cut
 
 THRESHOLD = 0.93
-TILE = 2048  # vectors in a tile
+TILE = 8192  # vectors in a tile
 AXES = 2  # principal axes that cells are cut along
 _CELL, _OTHER = [f"c{k}" for k in range(AXES)], [f"e{k}" for k in range(AXES)]
 BLOCK = 16  # dimensions gathered at a step
-_SLACK = 1e-9  # of bounds in floating point; the decision itself has none
+_SLACK = 1e-5  # of bounds in single precision; the decision itself is in double precision and has none
 
 
 def usable(vector: Column) -> Column:
@@ -82,7 +83,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def cells(vectors: DataFrame, rotation: dict[int, np.ndarray], radius: float) -> DataFrame:
+def cells(vectors: DataFrame, rotation: Broadcast, radius: float) -> DataFrame:
     """The vectors with their length and their cell along the first axes: (size, c0, c1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +91,7 @@ def cells(vectors: DataFrame, rotation: dict[int, np.ndarray], radius: float) ->
             c = np.zeros((batch.num_rows, AXES), np.int64)
             sizes = np.zeros(batch.num_rows, np.int64)
             for size, rows, x in _by_length(batch.column(3)):
-                y = _unit(x) @ rotation[size][:, :AXES]
+                y = _unit(x) @ rotation.value[size][:, :AXES]
                 c[rows, : y.shape[1]] = np.floor(y / radius).astype(np.int64)
                 sizes[rows] = size
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), *(pa.array(c[:, k]) for k in range(AXES))], names=["key", "label", "weight", "vector", "size", *_CELL])
@@ -102,39 +103,28 @@ def cells(vectors: DataFrame, rotation: dict[int, np.ndarray], radius: float) ->
 
 def compare(a: np.ndarray, b: np.ndarray | None, rotation: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i of a, j of b) with a cosine of at least the threshold; b None: pairs i < j within a."""
-    ua, ub = _unit(a), None if b is None else _unit(b)
-    ra = ua @ rotation
-    rb = ra if b is None else ub @ rotation
+    ra = _unit(a) @ rotation
+    rb = ra if b is None else _unit(b) @ rotation
     suffix = lambda r: np.sqrt(np.maximum(0, np.cumsum((r * r)[:, ::-1], 1)[:, ::-1]))
     sa, sb = suffix(ra), suffix(rb)
+    first, size = min(BLOCK, ra.shape[1]), ra.shape[1]
+    # the product of the suffix norms is one more dimension of the leading ones: one product gives the bound of every pair
+    lead = lambda r, s: np.concatenate([r[:, :first], s[:, first : first + 1]], 1).astype(np.float32)
+    la, lb = lead(ra, sa), lead(rb, sb).T
     found_i, found_j = [], []
     for lo in range(0, len(ra), 256):
-        hi = min(lo + 256, len(ra))
-        total = np.zeros((hi - lo, len(rb)))
-        rows = cols = None
-        for d in range(0, ra.shape[1], BLOCK):
-            e = min(d + BLOCK, ra.shape[1])
-            if rows is None:
-                total += ra[lo:hi, d:e] @ rb[:, d:e].T
-                if e == ra.shape[1]:
-                    live = total >= threshold - _SLACK
-                else:
-                    live = total + sa[lo:hi, e, None] * sb[None, :, e] >= threshold - _SLACK
-                n = int(live.sum())
-                if not n:
-                    rows = cols = np.empty(0, np.int64)
-                    break
-                if n < live.size // 16 or e == ra.shape[1]:
-                    rows, cols = np.nonzero(live)
-                    partial = total[rows, cols]
-            else:
-                partial = partial + np.einsum("ij,ij->i", ra[lo + rows, d:e], rb[cols, d:e])
-                reach = partial if e == ra.shape[1] else partial + sa[lo + rows, e] * sb[cols, e]
-                keep = reach >= threshold - _SLACK
-                rows, cols, partial = rows[keep], cols[keep], partial[keep]
-                if not len(rows):
-                    break
-        rows = rows + lo
+        begin = 0 if b is not None else lo  # within one tile: the later vectors only
+        rows, cols = np.nonzero(la[lo : lo + 256] @ lb[:, begin:] >= threshold - _SLACK)
+        rows, cols = rows + lo, cols + begin
+        partial = np.einsum("ij,ij->i", ra[rows, :first], rb[cols, :first])
+        for d in range(first, size, BLOCK):
+            e = min(d + BLOCK, size)
+            partial = partial + np.einsum("ij,ij->i", ra[rows, d:e], rb[cols, d:e])
+            reach = partial if e == size else partial + sa[rows, e] * sb[cols, e]
+            keep = reach >= threshold - _SLACK
+            rows, cols, partial = rows[keep], cols[keep], partial[keep]
+            if not len(rows):
+                break
         if b is None:
             rows, cols = rows[rows < cols], cols[rows < cols]
         for at in range(0, len(rows), 1 << 16):  # the decision: by the vectors as given
@@ -159,7 +149,8 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) ->
         none = spark.createDataFrame([], "key bigint, links bigint")
         return none, none.select(F.col("key").alias("a"), F.col("links").alias("b"))
     radius = math.sqrt(2 * (1 - threshold)) * (1 + 1e-9)
-    placed = cells(vectors, rotation, radius)
+    sent = spark.sparkContext.broadcast(rotation)  # one matrix for each length of vectors
+    placed = cells(vectors, sent, radius)
     at = ["label", "size", *_CELL]
     tiles = placed.groupBy(*at).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     placed = placed.join(tiles, at).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).drop("tiles")
@@ -181,7 +172,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) ->
         one, two = (group[group["side"] == s].sort_values("key") for s in (0, 1))
         x = np.array(one["vector"].tolist(), float).reshape(-1, size)
         y = np.array(two["vector"].tolist(), float).reshape(-1, size) if len(two) else None
-        i, j = compare(x, y, rotation[size], threshold)
+        i, j = compare(x, y, sent.value[size], threshold)
         j = j + (len(x) if y is not None else 0)
         key = np.concatenate([one["key"], two["key"]]).astype(np.int64)
         weight = np.concatenate([one["weight"], two["weight"]]).astype(np.int64)
