@@ -123,10 +123,10 @@ def canonical(text: Column) -> Column:
     c = F.regexp_replace(c, NAME_LINE, "\n")
     c = F.regexp_replace(c, RIGHTS_LINE, "\n")
     c = F.replace(c, F.lit("\x01"), F.lit("c"))
-    c = F.concat(F.lit(" "), F.regexp_replace(c, r"[\x00-\x2f\x3a-\x60\x7b-\x7f“”‘’«»–—…©®™]+", " "), F.lit(" "))
-    for old, new in SPELLINGS:
-        c = F.replace(c, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(c)
+    c = F.concat(F.lit(" "), F.regexp_replace(c, r"[\x00-\x2f\x3a-\x60\x7b-\x7f“”‘’«»–—…©®™]+", "  "), F.lit(" "))
+    for old, new in SPELLINGS:  # every word has spaces of its own here, so neighbours are replaced too
+        c = F.replace(c, F.lit(f" {old} ".replace(" ", "  ")[1:-1]), F.lit(f" {new} ".replace(" ", "  ")[1:-1]))
+    return F.trim(F.replace(c, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
@@ -146,7 +146,10 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     """Per row: id_col, digest of the whole canonical text, canonical_chars, license_id (null: no known text)."""
     form = docs.select(F.col(id_col), canonical(F.col(text_col)).alias("canonical"))
     left = form.select(id_col, F.sha2("canonical", 256).alias("digest"), F.length("canonical").cast("bigint").alias("canonical_chars"))
-    return left.join(known_digests(docs.sparkSession, known), "digest", "left").select(id_col, "digest", "canonical_chars", "license_id")
+    digests = known_digests(docs.sparkSession, known)
+    if known is None:  # a fixed number of constants; a given table is broadcast only under Spark's own size threshold
+        digests = F.broadcast(digests)
+    return left.join(digests, "digest", "left").select(id_col, "digest", "canonical_chars", "license_id")
 
 
 def oracle() -> str:
@@ -161,10 +164,10 @@ def oracle() -> str:
         c = f"regexp_replace({c}, {quote(NAME_LINE)}, chr(10), 'g')"
         c = f"regexp_replace({c}, {quote(RIGHTS_LINE)}, chr(10), 'g')"
         c = f"replace({c}, chr(1), 'c')"
-        c = "' ' || regexp_replace(" + c + r", '[\x00-\x2f\x3a-\x60\x7b-\x7f“”‘’«»–—…©®™]+', ' ', 'g') || ' '"
+        c = "' ' || regexp_replace(" + c + r", '[\x00-\x2f\x3a-\x60\x7b-\x7f“”‘’«»–—…©®™]+', '  ', 'g') || ' '"
         for old, new in SPELLINGS:
-            c = f"replace({c}, ' {old} ', ' {new} ')"
-        return f"trim({c}, ' ')"
+            c = "replace({}, '{}', '{}')".format(c, *(f" {x} ".replace(" ", "  ")[1:-1] for x in (old, new)))
+        return f"trim(replace({c}, '  ', ' '), ' ')"
 
     rows = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in KNOWN)
     digests = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in DIGESTS)
