@@ -58,12 +58,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_html_extraction, op3_license_scan, op4_packing, op5_embedding_dedup, op6_minhash_dedup, op7_quality_rules, op8_byte_bpe, op9_quality_classifier, op10_line_dedup)}
 
 
-#: Near-duplicates by brute force: every pair that shares a shingle, for tables small enough for that.
+#: Near-duplicates by brute force (a shingle weighs as often as it occurs): every pair that shares a shingle, for tables small enough for that.
 NEAR_SQL = r"""
     WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-    shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
-    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
-    common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    shingles AS (SELECT doc_id, s, count(*) AS c FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words) GROUP BY ALL),
+    sizes AS (SELECT doc_id, sum(c) AS n FROM shingles GROUP BY 1),
+    common AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.c, b.c)) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
     links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 5 * k >= 4 * (p.n + q.n - k)),
     both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links UNION SELECT doc_id, (SELECT min(doc_id) FROM words WHERE len(w) = 0) FROM words WHERE len(w) = 0),
     reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -110,7 +111,7 @@ def test_signatures_agree_like_the_similarity():
 def word_sets(rows):
     for i, t in rows:
         w = (t or "").split()
-        yield i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        yield i, Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
 
 
 def brute_near(rows):
@@ -118,7 +119,7 @@ def brute_near(rows):
     for a, (_, x) in enumerate(sets):
         for b in range(a):
             y = sets[b][1]
-            if (not x and not y) or 5 * len(x & y) >= 4 * len(x | y) > 0:
+            if (not x and not y) or 5 * (x & y).total() >= 4 * (x | y).total() > 0:
                 up.join(a, b)
     classes = {}
     for k, (i, _) in enumerate(sets):
@@ -141,14 +142,22 @@ def near_corpus(seed=6):
     for k in range(40):  # a third of the rows share a template; only few of them are near enough
         own = [word() for _ in range(30 if k % 8 else 6)]
         rows.append(" ".join(template + own))
+    line = " ".join(word() for _ in range(30))
+    for times in (3, 20, 21, 22, 60, 70):  # repeated lines: near by weight
+        rows.append("\n".join([line] * times + [" ".join(word() for _ in range(30))]))
+    a, b = ("".join("ab"[k.bit_count() & 1 ^ x] for k in range(2048)) for x in (0, 1))
+    rows += [a, b, f"{a} {b}", f"{b} {a}", " ".join(a), " ".join(b)]  # polynomial hashes take these for equal
     rows += [rows[0]] * 4 + ["  ".join(rows[1].split()), "", None, " \n", "one", "one", "two three"]
     r.shuffle(rows)
     return list(enumerate(rows))
 
 
-def test_near_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize("tile, signed_tile", [(192, 2048), (8, 16)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, tile, signed_tile):
+    monkeypatch.setattr(minhash_dedup.blocks, "__defaults__", ((4, 5), tile))
+    monkeypatch.setattr(minhash_dedup.near, "__defaults__", (signed_tile, minhash_dedup.AGREE))
     rows = near_corpus()
-    docs = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id bigint, text string, bucket string, kept int")
+    docs = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id bigint, text string, `bucket.x` string, kept int")
     got = minhash_dedup.dedup(docs).collect()
     assert sorted((r.doc_id, r.class_id) for r in got) == brute_near(rows)
     assert all(r.kept == (r.doc_id == r.class_id) for r in got)
@@ -161,6 +170,19 @@ def test_near_duplicates_against_brute_force(spark):
     assert minhash_dedup.dedup(docs.limit(0)).count() == 0 and minhash_dedup.survivors(docs.limit(0)).count() == 0
 
 
+def test_only_what_signatures_join_is_compared_exactly(spark):
+    """A hot bucket of pages of one template, alike but no near-duplicates: their texts go nowhere."""
+    r = np.random.default_rng(9)
+    base = r.integers(0, 2**63, 700, dtype=np.uint64)
+    sets = [np.concatenate([base[:400], r.integers(0, 2**63, 300, dtype=np.uint64)]) for _ in range(40)]
+    sets.append(np.concatenate([sets[7][:650], r.integers(0, 2**63, 50, dtype=np.uint64)]))
+    s = minhash_dedup.signatures(np.concatenate(sets), np.repeat(np.arange(41), 700), 41).astype("<u2")
+    left = spark.createDataFrame([(5, k, k) for k in range(41)], "bucket bigint, key bigint, part bigint")
+    sketches = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(s)], "key bigint, sketch binary")
+    for tile in (2048, 4):
+        assert sorted(x.key for x in minhash_dedup.near(left, sketches, tile).collect()) == [7, 40]
+
+
 # lines
 def brute_lines(rows, least=50, rare=20, rare_words=5):
     """(id, text) -> new text and sources, by looking at every pair of documents."""
