@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from sectorlake.llm import components, embedding_dedup, line_dedup, minhash_dedup
+from sectorlake.llm import components, embedding_dedup, line_dedup, minhash_dedup, session
 from sectorlake.llm.session import Stored, cut
 
 
@@ -37,6 +37,11 @@ def test_components(spark, task):
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_a_cluster_needs_a_shared_folder():
+    for master, is_local in (("local", True), ("local[8]", True), ("local[*]", True), ("local[2,3]", True), ("local-cluster[2,1,1024]", False), ("spark://host:7077", False), ("yarn", False)):
+        assert bool(session._LOCAL.fullmatch(master)) == is_local
+
+
 def test_tables_are_cut_to_the_checkpoint_folder(spark):
     df = spark.range(10)
     assert sorted(r.id for r in cut(df).collect()) == list(range(10))
