@@ -21,6 +21,11 @@ def clamp(offset, length) -> Column:
     return F.greatest(F.lit(0), F.least(_col(offset), _col(length) - 1))
 
 
+def at_end(offset, length, margin=0) -> Column:
+    """Whether a cursor position is at the end of the data, or within ``margin`` bytes of it."""
+    return _col(offset) >= _col(length) - _col(margin)
+
+
 def read_bytes(data: Column, offset, count) -> Column:
     return F.substring(data, _col(offset) + 1, _col(count))
 

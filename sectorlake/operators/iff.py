@@ -13,9 +13,11 @@ from pyspark.sql.types import StructType
 
 
 def map_files(files: DataFrame, rows: Callable[[bytes], list[tuple]], schema: str, key: tuple[str, ...] = ("disk_id", "sector")) -> DataFrame:
-    """Rows that a function makes of each file's content, after the file's key columns; a file it cannot read has none."""
+    """Rows that a function makes of each file's content, after the file's key columns.  A file that it cannot read has one row, with
+    what is wrong as ``problem``."""
     keys = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in key)
-    kind = StructType.fromDDL(f"{keys}, {schema}")
+    kind = StructType.fromDDL(f"{keys}, {schema}, problem string")
+    none = [None] * (len(kind) - len(key) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -24,9 +26,9 @@ def map_files(files: DataFrame, rows: Callable[[bytes], list[tuple]], schema: st
         for batch in batches:
             for k in range(batch.num_rows):
                 try:
-                    found = rows(batch.column(batch.num_columns - 1)[k].as_py() or b"")
-                except (ValueError, IndexError, struct.error, KeyError):
-                    found = []
+                    found = [(*r, None) for r in rows(batch.column(batch.num_columns - 1)[k].as_py() or b"")]
+                except (ValueError, IndexError, struct.error, KeyError) as e:
+                    found = [(*none, f"{type(e).__name__}: {e}")]
                 if found:
                     own = [[batch.column(c)[k].as_py()] * len(found) for c in range(batch.num_columns - 1)]
                     columns = own + [list(c) for c in zip(*found, strict=True)]

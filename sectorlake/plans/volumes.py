@@ -257,7 +257,7 @@ def _at() -> Column:
     SELECT page_id, {_int_sql("h", _AT, 1)} AS u8, {_int_sql("h", _AT, 1, signed=True)} AS s8, {_int_sql("h", _AT, 2)} AS u16, {_int_sql("h", _AT, 2, True)} AS u16le, {_int_sql("h", _AT, 2, signed=True)} AS s16,
         {_int_sql("h", _AT, 4)} AS u32, {_int_sql("h", _AT, 4, True)} AS u32le, md5(substr(h, 2 * {_AT} + 1, 40)) AS bytes_, {_chars_sql(f"substr(h, 2 * {_AT} + 1, 24)", False)} AS latin1,
         {_chars_sql(f"substr(h, 2 * {_AT} + 3, 2 * {_int_sql('h', _AT, 1)})", False)} AS pascal,
-        ({_int_sql("h", f"{_AT} // 8", 2)} >> CAST(11 - {_AT} % 8 AS BIGINT)) & 31 AS bits, lpad(bin({_int_sql("h", _AT, 1)}), 8, '0') AS byte_bits, least({_AT}, octet_length(encode(html)) - 1) AS clamped
+        ({_int_sql("h", f"{_AT} // 8", 2)} >> CAST(11 - {_AT} % 8 AS BIGINT)) & 31 AS bits, lpad(bin({_int_sql("h", _AT, 1)}), 8, '0') AS byte_bits, least({_AT}, octet_length(encode(html)) - 1) AS clamped, page_id % 900 >= octet_length(encode(html)) - 200 AS at_end
     FROM (SELECT page_id, html, hex(encode(html)) AS h FROM pages)""")
 def binary_reads(spark, sf_dir):
     """Typed reads at changing offsets of the pages' bytes."""
@@ -265,7 +265,7 @@ def binary_reads(spark, sf_dir):
     d, at = F.col("d"), _at()
     return held.select(
         F.col("id").alias("page_id"), b.u8(d, at).alias("u8"), b.s8(d, at).alias("s8"), b.u16(d, at).alias("u16"), b.u16(d, at, little=True).alias("u16le"), b.s16(d, at).alias("s16"), b.u32(d, at).alias("u32"), b.u32(d, at, little=True).alias("u32le"),
-        F.md5(F.hex(b.read_bytes(d, at, 20))).alias("bytes_"), b.latin1(d, at, 12).alias("latin1"), b.pascal(d, at).alias("pascal"), b.bits(d, 5, at).cast("bigint").alias("bits"), b.byte_bits(b.u8(d, at)).alias("byte_bits"), b.clamp(at, F.octet_length(d)).cast("bigint").alias("clamped"),
+        F.md5(F.hex(b.read_bytes(d, at, 20))).alias("bytes_"), b.latin1(d, at, 12).alias("latin1"), b.pascal(d, at).alias("pascal"), b.bits(d, 5, at).cast("bigint").alias("bits"), b.byte_bits(b.u8(d, at)).alias("byte_bits"), b.clamp(at, F.octet_length(d)).cast("bigint").alias("clamped"), b.at_end(F.col("id") % 900, F.octet_length(d), 200).alias("at_end"),
     )
 
 

@@ -221,7 +221,41 @@ def test_encryption():
     archive = build([track(0, data, 1, 0, bytes(crypt), len(data))], general=2)
     disk, _, status = a.unpack(archive, "secret")
     assert status == "ok" and disk[: len(data)] == data
-    assert a.unpack(archive, "wrong")[2] != "ok"
+    assert a.unpack(archive, "wrong")[2] == "wrong password"
+
+
+def test_keys_of_stored_tracks_are_found():
+    data, key = sample(4, 2100), 0x1234
+    crypt, k = bytearray(), key
+    for x in data:
+        c = x ^ k & 0xFF
+        crypt.append(c)
+        k = (k >> 1) + c & 0xFFFF
+    found = a._search(0, 0, bytes(crypt), len(data), len(data), a.additive(data))
+    assert a.additive(a.decrypt(bytes(crypt), found)[0]) == a.additive(data)
+    disk, _, status = a.unpack(build([track(0, data, 0, 0, bytes(crypt), len(data))], general=2))
+    assert status == "ok" and len(disk) == 80 * 11264
+
+
+def test_statuses():
+    data = sample(5)
+    good = track(0, data, 0, 0, data, len(data))
+    assert a.unpack(b"\x1f\x8b" + bytes(60))[2] == "packed with gzip"
+    assert a.unpack(build([b"XX" + bytes(40)]))[2] == "no track header"
+    assert a.unpack(build([good[:-5]]))[2] == "track is cut off"
+    assert a.unpack(build([track(0, bytes(33000), 0, 0, bytes(33000), 33000)]))[2] == "track too large"
+    assert a.unpack(build([good, b"trailing bytes, of any kind and length"]))[2] == "ok"
+
+
+def test_packed_disks_come_back():
+    r = random.Random(6)
+    for n in (0, 1, 11264, 30000):
+        disk = b"".join(r.choice([b"\x90", b"ab", bytes(300), b"\x90" * 5, b"x" * 70000]) for _ in range(n // 300 + 1))[:n]
+        for mode in (0, 1):
+            got, extras, status = a.unpack(a.pack(disk, mode))
+            assert status == "ok" and not extras and got == disk.ljust(80 * 11264, b"\0")
+    with pytest.raises(ValueError):
+        a.pack(bytes(80 * 11264 + 1))
 
 
 def test_known_crc():

@@ -56,6 +56,8 @@ def test_pictures(spark):
     assert iff.describe(ilbm(v, 5, PALETTE)) == "20x3 32 colours" and iff.describe(ilbm(ham, 6, PALETTE, 0x800)) == "16x1 HAM6"
     files = spark.createDataFrame([("d", 1, ilbm(v, 5, PALETTE)), ("d", 2, b"no"), ("d", 3, None)], "disk_id string, sector int, content binary")
     assert [r.chunk for r in iff.chunks(files).orderBy("seq").collect()] == ["BMHD", "CMAP", "CRNG", "CAMG", "BODY"]
+    broken = spark.createDataFrame([("d", 4, ilbm(v, 5, PALETTE)[:30]), ("d", 5, b"no")], files.schema)
+    assert [(r.sector, r.width, r.problem is not None) for r in iff.pictures(broken).collect()] == [(4, None, True)]
     p = iff.pictures(files).first()
     assert (p.width, p.height, p.colours, p.ranges) == (20, 3, 32, [[5, 1, 2, 3]])
     assert len(iff.rasters(files).first().rgb) == 180
