@@ -86,7 +86,7 @@ def test_icons(spark):
     assert plain.rgba[0, 0].tolist() == [*icon.PALETTE_2[3], 255] and plain.rgba[0, 1, 3] == 0
     files = spark.createDataFrame([("d", 1, data), ("d", 2, make_icon()), ("d", 3, b"\xe3\x10")], "disk_id string, sector int, content binary")
     assert {r.sector: r.colour_states for r in icon.icons(files).collect()} == {1: 3, 2: 0, 3: None}  # the third cannot be read
-    assert icon.rasters(files).count() == 5
+    assert icon.rasters(files).where("problem IS NULL").count() == 5
 
 
 def test_archives_in_tables(spark):
