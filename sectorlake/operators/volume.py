@@ -47,14 +47,26 @@ def disk_info(disks: DataFrame) -> DataFrame:
     partitioned = b.latin1(content, 0, 4) == "RDSK"
     known = b.u32(content, root) == 2
     flag = F.when(b.u8(content, 3) % 2 == 0, "OFS").otherwise("FFS")
-    base = disks.select(
+    space = F.when(F.col("reject_reason").isNull(), _space_udf(content))
+    return disks.select(
         "disk_id",
         F.when(partitioned, "RDSK").when(known, b.latin1(content, 0, 3)).otherwise("UNKNOWN").alias("disk_format"),
         F.when(partitioned, "Partitioned").when(known, flag).otherwise("UNKNOWN").alias("disk_type"),
         F.when(~partitioned, b.u32(content, root)).alias("root_type"),
         F.when(~partitioned, b.pascal(content, root + SECTOR - 80)).alias("label"),
-    )
-    return base.join(free_size(disks).drop("free_blocks"), "disk_id", "left")
+        space.alias("space"),
+    ).select("*", "space.*").drop("space")
+
+
+@F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("total_size", "free", "used")]))
+def _space_udf(contents: pa.Array) -> pa.Array:
+    out = []
+    for c in contents:
+        try:
+            out.append(dict(zip(("total_size", "free", "used"), Image(c.as_py()).free_size()[1:], strict=True)))
+        except (ImageError, TypeError):
+            out.append(None)
+    return pa.array(out, pa.struct([(n, pa.int64()) for n in ("total_size", "free", "used")]))
 
 
 def _bitmap_pointers(disks: DataFrame) -> DataFrame:
@@ -124,8 +136,15 @@ def sector_types(disks: DataFrame, sectors: DataFrame) -> DataFrame:
 
 def is_empty(disks: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted: (disk_id, sector).  Adds ``empty``: its bitmap bit is set; false outside the image."""
-    bits = bitmap(disks).join(disks.select("disk_id", "sector_count"), "disk_id").where("sector < sector_count").select("disk_id", "sector", (F.col("free") == 1).alias("empty"))
-    return wanted.join(bits, ["disk_id", "sector"], "left").withColumn("empty", F.coalesce("empty", F.lit(False)))
+    found = disks.where("reject_reason IS NULL").select("disk_id", "content", "sector_count", _pointers_udf(F.col("content")).alias("at"))
+    maps = F.transform("at", lambda p: F.when(p > 0, F.substring("content", p * SECTOR + 1, F.lit(SECTOR))))
+    blocks_ = found.select("disk_id", "sector_count", F.posexplode(maps).alias("_block", "data")).where("data IS NOT NULL")
+    longs = blocks_.select("disk_id", "sector_count", "_block", b.u32_array(F.col("data"), 4, 127).alias("_longs"))
+    asked = wanted.withColumn("_block", F.expr(f"CAST((sector - 2) DIV {blocks.BITMAP_BITS} AS INT)"))
+    bit = f"(sector - 2) % {blocks.BITMAP_BITS}"  # 32 to a long, lowest first
+    known = F.col("sector").between(2, F.col("sector_count") - 1)
+    empty = F.when(known, F.expr(f"bit_get(_longs[CAST({bit} DIV 32 AS INT)], CAST({bit} % 32 AS INT)) = 1"))
+    return asked.join(longs, ["disk_id", "_block"], "left").withColumn("empty", F.coalesce(empty, F.lit(False))).drop("_block", "_longs", "sector_count")
 
 
 _ENTRY = "dir_sector int, bucket int, depth int, sector int, name string, type_string string, size bigint, comment string, parent int, linked_sector int, change_days bigint, change_minutes bigint, change_ticks bigint"

@@ -78,7 +78,8 @@ def apply(disks: DataFrame, requests: DataFrame, on_duplicate: str = "reject", a
 
 def upload(disks: DataFrame, host_files: DataFrame, disk_id: str, folder: str = "") -> DataFrame:
     """Write files of the ``binaryFile`` source into a folder of one image, in the order of their paths."""
-    named = host_files.select(F.lit(disk_id).alias("disk_id"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path")).cast("bigint").alias("seq"), F.lit("write").alias("op"), F.lit(folder).alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    order = host_files.select("path", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path")).cast("bigint").alias("seq"))  # paths alone: one image's
+    named = host_files.join(order, "path").select(F.lit(disk_id).alias("disk_id"), "seq", F.lit("write").alias("op"), F.lit(folder).alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     return apply(disks.where(F.col("disk_id") == disk_id), named)
 
 

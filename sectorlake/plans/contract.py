@@ -11,10 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from sectorlake.functions import binary as b, formats as f
+from sectorlake.functions import binary as b, encode, formats as f
 from sectorlake.operators import catalogue, detect
-from sectorlake.plans.prefix import running_sum
-from sectorlake.sources.images import cut_sectors
+from sectorlake.plans.prefix import SPAN, ranked, running_sum
+from sectorlake.sources.images import CYLINDER, TRACK, cut_sectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,8 +112,11 @@ def first_fit_sectors(spark, sf_dir):
     most = need.agg(F.max(F.col("first_rank") + F.col("blocks"))).first()[0] or 0
     used = spark.range(2, most * 7 // 6 + 16).withColumnRenamed("id", "sector").withColumn("disk", F.lit(0)).where("sector % 7 <> 0")
     free = running_sum(used, ["disk"], "sector", F.lit(1), "rank").select("rank", "sector")
-    wanted = need.select("doc_id", "lang", "blocks", F.explode(F.sequence(F.col("first_rank"), F.col("first_rank") + F.col("blocks") - 1)).alias("rank"))
-    return wanted.join(free, "rank").groupBy("doc_id", "lang", "blocks").agg(F.min("sector").alias("first_sector"), F.max("sector").alias("last_sector"))
+    # ranks follow sectors, so the first and last rank of a document say all
+    ends = need.withColumn("last_rank", F.col("first_rank") + F.col("blocks") - 1)
+    for end in ("first", "last"):
+        ends = ends.join(free.select(F.col("rank").alias(f"{end}_rank"), F.col("sector").alias(f"{end}_sector")), f"{end}_rank")
+    return ends.select("doc_id", "lang", "blocks", "first_sector", "last_sector")
 
 
 @query("""
@@ -184,7 +187,8 @@ def listing_sorted(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     folders = docs.select("lang", F.lit("").alias("folder"), F.lit(0).alias("kind"), F.col("source").alias("name")).distinct()
     files = docs.select("lang", F.col("source").alias("folder"), F.lit(1).alias("kind"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"))
-    return folders.unionByName(files).withColumn("position", F.row_number().over(Window.partitionBy("lang", "folder").orderBy("kind", "name")))
+    run = F.concat(F.col("kind").cast("string"), F.substring("name", 1, 7))  # a folder may hold any number of files
+    return ranked(folders.unionByName(files), ["lang", "folder"], run, ["kind", "name"], "position").withColumn("position", F.col("position").cast("int"))
 
 
 @query("SELECT lang, source, count(*) AS files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY ALL")
@@ -249,32 +253,36 @@ def hex_dump(spark, sf_dir):
     r AS (SELECT *, sum(start) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM t)
     SELECT user_id, CAST(run AS BIGINT) AS run, event_type, count(*) AS length FROM r GROUP BY ALL""")
 def rle_runs(spark, sf_dir):
-    """Runs of equal symbols, per user."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    start = F.when(F.col("event_type") == F.lag("event_type").over(w), 0).otherwise(1)
-    marked = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", start.alias("start"))
-    numbered = marked.withColumn("run", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("user_id", "run", "event_type").agg(F.count("*").alias("length"))
+    """Runs of equal symbols, per user.  A user's events are looked at in spans of event_id; each span knows the symbol before it."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.floor(F.col("event_id") / SPAN).alias("span"))
+    spans = events.groupBy("user_id", "span").agg(F.max_by(F.struct("event_type"), "event_id").alias("last"))
+    spans = spans.select("user_id", "span", F.lag("last").over(Window.partitionBy("user_id").orderBy("span")).alias("ahead"))
+    inside = F.lag(F.struct("event_type")).over(Window.partitionBy("user_id", "span").orderBy("event_id"))
+    marked = events.join(spans, ["user_id", "span"]).withColumn("before", F.coalesce(inside, "ahead"))
+    start = F.when(F.col("event_type") == F.col("before.event_type"), 0).otherwise(1)
+    numbered = running_sum(marked.select("user_id", "event_id", "event_type", start.alias("start")), ["user_id"], "event_id", F.col("start"), "sum")
+    return numbered.groupBy("user_id", (F.col("sum") + F.col("start")).alias("run"), "event_type").agg(F.count("*").alias("length"))
 
 
 @query(f"SELECT doc_id, seq // 11 AS track, seq // 22 AS cylinder, count(*) AS sectors, CAST(sum(length(data) // 2) AS BIGINT) AS bytes FROM {_blocks_sql(512)} GROUP BY ALL")
 def track_layout(spark, sf_dir):
-    cut = _blocks(table(spark, sf_dir, "documents"), 512).select("doc_id", F.expr("CAST(seq DIV 11 AS INT)").alias("track"), F.expr("CAST(seq DIV 22 AS INT)").alias("cylinder"), F.octet_length("data").alias("n"))
+    cut = _blocks(table(spark, sf_dir, "documents"), 512).select("doc_id", F.expr(f"CAST(seq DIV {TRACK} AS INT)").alias("track"), F.expr(f"CAST(seq DIV {CYLINDER} AS INT)").alias("cylinder"), F.octet_length("data").alias("n"))
     return cut.groupBy("doc_id", "track", "cylinder").agg(F.count("*").alias("sectors"), F.sum("n").alias("bytes"))
 
 
 @query("SELECT (c_custkey - 1) // 32 AS word, CAST(sum(CASE WHEN c_custkey % 7 <> 0 THEN CAST(1 AS BIGINT) << CAST((c_custkey - 1) % 32 AS INTEGER) ELSE 0 END) AS BIGINT) AS packed FROM customer GROUP BY ALL")
 def bitmap_pack(spark, sf_dir):
     """Customers are sectors; every seventh is in use."""
-    flags = table(spark, sf_dir, "customer").select(F.expr("(c_custkey - 1) DIV 32").alias("word"), F.expr("CASE WHEN c_custkey % 7 <> 0 THEN shiftleft(1L, CAST((c_custkey - 1) % 32 AS INT)) ELSE 0L END").alias("bit"))
-    return flags.groupBy("word").agg(F.sum("bit").alias("packed"))
+    flags = table(spark, sf_dir, "customer").select((F.col("c_custkey") - 1).alias("bit_idx"), F.when(F.col("c_custkey") % 7 != 0, 1).otherwise(0).alias("free"))
+    return encode.packed_longs(flags, []).select(F.col("word").cast("bigint").alias("word"), F.col("value").alias("packed"))
 
 
 def _free(strict: bool) -> Query:
     def run(spark, sf_dir):
-        bits = table(spark, sf_dir, "customer").select("c_nationkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("bit"), F.when(F.col("c_custkey") % 7 != 0, 1).otherwise(0).alias("free"))
-        sized = bits.withColumn("sectors", F.count("*").over(Window.partitionBy("c_nationkey")))
-        counted = sized.where(F.col("bit") <= F.col("sectors") - (2 if strict else 0))
+        flags = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.when(F.col("c_custkey") % 7 != 0, 1).otherwise(0).alias("free"))
+        bits = running_sum(flags, ["c_nationkey"], "c_custkey", F.lit(1), "bit")
+        sized = bits.join(flags.groupBy("c_nationkey").agg(F.count("*").alias("sectors")), "c_nationkey")
+        counted = sized.where(F.col("bit") < F.col("sectors") - (2 if strict else 0))
         return counted.groupBy("c_nationkey").agg((F.sum("free") * 512).alias("free_bytes"), F.max(F.col("sectors") * 512).alias("total_bytes"))
 
     run.__name__ = "free_size_strict" if strict else "free_size"
