@@ -371,3 +371,109 @@ def picture_rasters(spark, sf_dir):
 @query(f"SELECT disk_id, CAST(seq AS INTEGER) AS seq, chunk, size FROM (SELECT disk_id, unnest([0, 1, 2]) AS seq, unnest(['BMHD', 'CMAP', 'BODY']) AS chunk, unnest([20, 6, lines * (8 + doc_id % 2)]) AS size FROM {_PICTURE_SQL})")
 def picture_chunks(spark, sf_dir):
     return iff.chunks(_pictures(spark, sf_dir)).select("disk_id", "seq", "chunk", "size")
+
+
+# Icons: even documents hold their bytes as a plane 64 pixels wide, odd ones a colour state of two pixels.
+_ICON_LINES = 500
+
+
+def _icons(spark, sf_dir) -> DataFrame:
+    held = table(spark, sf_dir, "documents").select("doc_id", content().alias("c")).where(F.octet_length("c").between(1, 8 * _ICON_LINES))
+    lines = F.ceil(F.octet_length("c") / 8)
+    odd = F.col("doc_id") % 2 == 1
+    zeros = lambda n: b.filled(n)
+    text = lambda s: F.concat(b.put(F.octet_length(s) + 1, 4), s, zeros(1))
+    tool, tip = b.put_latin1(F.concat(F.lit("SYS:Tool"), F.col("doc_id").cast("string"))), b.put_latin1(F.concat(F.lit("NUMBER="), F.col("doc_id").cast("string")))
+    # magic, version, link, edges, size, then a pointer to the image; type, default tool, tool types, place, stack
+    head = F.concat(b.put(0xE310, 2), b.put(1, 2), zeros(8), b.put(64, 2), b.put(lines, 2), zeros(6), b.put(1, 4), zeros(4), zeros(12), zeros(2), zeros(4), b.put(4, 1), zeros(1), b.put(1, 4), b.put(1, 4), b.put(F.col("doc_id") % 1000, 4), b.put(7, 4), zeros(8), b.put(4096, 4))
+    plane = F.concat(zeros(4), b.put(64, 2), b.put(lines, 2), b.put(1, 2), b.put(1, 4), b.put(1, 1), zeros(1), zeros(4), F.rpad("c", (lines * 8).cast("int"), F.lit(b"\0")))
+    types = F.concat(b.put(12, 4), text(tip), text(F.lit(b"B")))
+    state = F.concat(F.lit(b"ICONFACE"), b.put(6, 4), b.put(1, 1), zeros(5), F.lit(b"IMAG"), b.put(18, 4), zeros(2), b.put(2, 1), zeros(2), b.put(8, 1), b.put(1, 2), b.put(5, 2), F.lit(bytes([1, 1, 1, 2, 3, 9, 8, 7])))
+    form = F.concat(F.lit(b"FORM"), b.put(F.octet_length(state), 4), state)
+    whole = F.concat(head, plane, text(tool), types, F.when(odd, form).otherwise(F.lit(b"")))
+    return held.select(F.col("doc_id").cast("string").alias("disk_id"), F.lit(0).alias("sector"), whole.alias("content"))
+
+
+_ICON_SQL = f"(SELECT doc_id, CAST(doc_id AS VARCHAR) AS disk_id, {_LINES} AS lines, hex(encode(text)) AS h FROM documents WHERE octet_length(encode(text)) BETWEEN 1 AND {8 * _ICON_LINES})"
+_CLEAR = "['" + "', '".join("".join("FFFFFFFF" if k >> j & 1 else "55AAFF00" for j in (3, 2, 1, 0)) for k in range(16)) + "']"
+
+
+@query(f"SELECT disk_id, CAST(lines AS INTEGER) AS height, CAST(doc_id % 1000 AS BIGINT) AS current_x, 'SYS:Tool' || doc_id AS default_tool, 'NUMBER=' || doc_id || ' B' AS tool_types, CAST(doc_id % 2 AS INTEGER) AS colour_states FROM {_ICON_SQL}")
+def icon_headers(spark, sf_dir):
+    from sectorlake.operators import icon
+
+    return icon.icons(_icons(spark, sf_dir)).select("disk_id", "height", "current_x", "default_tool", F.array_join("tool_types", " ").alias("tool_types"), "colour_states")
+
+
+@query(f"""
+    SELECT disk_id, CASE WHEN doc_id % 2 = 1 THEN 2 ELSE 64 END AS width, CASE WHEN doc_id % 2 = 1 THEN md5('090807FF090807FF')
+        ELSE md5(array_to_string(list_transform(range(CAST(lines AS INTEGER) * 16), lambda i: list_extract({_CLEAR}, CAST('0x' || substr(rpad(h, CAST(lines * 16 AS INTEGER), '0'), i + 1, 1) AS INTEGER) + 1)), '')) END AS md5 FROM {_ICON_SQL}""")
+def icon_rasters(spark, sf_dir):
+    """What is shown of icons: a colour state, or the plane in the fixed colours."""
+    from sectorlake.operators import icon
+
+    return icon.rasters(_icons(spark, sf_dir)).select("disk_id", "width", F.md5(F.hex("rgba")).alias("md5"))
+
+
+# More of volumes, and what viewers show
+
+
+@query(f"SELECT DISTINCT disk_id, source AS name, CAST({_bucket_sql('source')} AS INTEGER) AS bucket FROM ({_IMAGE_SQL})")
+def image_roots(spark, sf_dir):
+    """The entries of the root folders."""
+    return volume.dir_entries(_written_images(spark, sf_dir), 0).select("disk_id", "name", "bucket")
+
+
+@query(f"WITH {_MADE} SELECT disk_id, count(*) + any_value(folders) + 1 AS headers, true AS same FROM files JOIN made USING (disk_id) GROUP BY 1")
+def image_rewrites(spark, sf_dir):
+    """Headers decoded, encoded again and compared with what was read."""
+    sectors = images.sectors(_written_images(spark, sf_dir))
+    again = volume.rewrite_blocks(sectors).withColumnRenamed("data", "again").join(sectors, ["disk_id", "sector"])
+    return again.groupBy("disk_id").agg(F.count("*").alias("headers"), F.every(F.col("data") == F.col("again")).alias("same"))
+
+
+@query("SELECT * FROM (VALUES (2, 'IFF', 'IFF file', true), (3, 'ILBM', 'ILBM Image', true), (4, 'ANIM', 'IFF ILBM Animation', true), (5, 'MOD', 'Module', false), (6, 'AMBK', 'Picture bank', true), (7, 'AMSP', 'Sprite bank', true), (8, 'AMIC', 'Icon bank', true), (9, 'ICON', 'Icon file', true), (10, 'DMS', 'Disk archive', false)) AS t(number, type, name, inspectable)")
+def type_table(spark, sf_dir):
+    """The registered types."""
+    return detect.file_types(spark).select("number", "type", "name", "inspectable")
+
+
+_MARKED = "(SELECT doc_id, disk_id, source, CASE doc_id % 4 WHEN 0 THEN 'AMSP' WHEN 1 THEN 'ICON' WHEN 2 THEN 'DMS' END AS type FROM ({0}))".format(_IMAGE_SQL)
+
+
+@query(f"SELECT disk_id, type, CASE type WHEN 'AMSP' THEN 'containing 16705 sprites' WHEN 'ICON' THEN 'icon' END AS info, count(*) AS files FROM {_MARKED} GROUP BY ALL")
+def image_types(spark, sf_dir):
+    """The types of the files of images, by their first bytes; each file's content starts with one that its number chooses."""
+    files = volume.files(_written_images(spark, sf_dir))
+    kind = F.regexp_extract("path", "([0-9]+)$", 1).cast("bigint") % 4
+    first = F.when(kind == 0, F.lit(b"AmSpAA")).when(kind == 1, F.lit(b"\xe3\x10")).when(kind == 2, F.lit(b"DMS!")).otherwise(F.lit(b"\0"))
+    found = detect.detect_files(files.withColumn("content", F.concat(first, "content")))
+    return found.groupBy("disk_id", "type", "info").agg(F.count("*").alias("files"))
+
+
+_STAMP = "(SELECT doc_id, octet_length(encode(text)) AS n, TIMESTAMP '1978-01-01' + to_days(CAST(doc_id % 5000 AS INTEGER)) + to_minutes(CAST(doc_id % 1440 AS BIGINT)) AS t FROM documents)"
+_DAY_SQL = "strftime(t, '%-d') || ' ' || lower(strftime(t, '%b')) || ' ' || strftime(t, '%Y %H:%M')"
+
+
+@query(f"SELECT doc_id, {_DAY_SQL} AS shown, strftime(make_timestamp(doc_id * 1000003 * 1000000), '%-d %b %Y %-H:%-M:%-S') AS unix FROM {_STAMP}")
+def display_dates(spark, sf_dir):
+    from sectorlake.functions import formats
+
+    days, minutes = F.col("doc_id") % 5000, F.col("doc_id") % 1440
+    return table(spark, sf_dir, "documents").select("doc_id", formats.date_text(days, minutes, F.lit(75)).alias("shown"), formats.unix_date_text(F.col("doc_id") * 1000003).alias("unix"))
+
+
+@query(f"""
+    SELECT doc_id, 'doc' || doc_id AS name, CASE WHEN n > 0 THEN CASE WHEN n < 1024 THEN n || ' bytes' ELSE CAST(floor(n / 1024.0 + 0.5) AS BIGINT) || ' kb' END END AS size, CASE WHEN doc_id % 3 > 0 THEN repeat('c', CAST(doc_id % 3 AS INTEGER)) END AS comment,
+        CASE WHEN doc_id % 5000 > 1000 THEN {_DAY_SQL} END AS last_changed, CASE WHEN doc_id % 2 = 0 THEN 'This is an ILBM' ELSE 'This is a Module' END AS article,
+        CASE WHEN n < 1024 THEN '<b>' || greatest(n, 1) || '</b> bytes' ELSE '<b>' || CAST(floor(n / 1024.0 + 0.5) AS BIGINT) || '</b> kb' END AS markup, lpad(hex(doc_id % 256), 2, '0') AS hex_byte
+    FROM {_STAMP} WHERE n < 1000000""")
+def display_panel(spark, sf_dir):
+    """What a viewer lists about a file."""
+    from sectorlake.functions import formats
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(content()).cast("bigint").alias("n")).where("n < 1000000")
+    i = F.col("doc_id")
+    panel = formats.info_panel(F.concat(F.lit("doc"), i.cast("string")), F.lit("FILE"), F.col("n"), F.repeat(F.lit("c"), (i % 3).cast("int")), i % 5000, i % 1440, F.lit(0))
+    kind = formats.article(F.when(i % 2 == 0, "ILBM").otherwise("Module"))
+    return docs.select("doc_id", panel.alias("p"), kind.alias("article"), formats.disk_size_markup(F.col("n")).alias("markup"), formats.hex_byte(i % 256).alias("hex_byte")).select("doc_id", "p.name", "p.size", "p.comment", "p.last_changed", "article", "markup", "hex_byte")
