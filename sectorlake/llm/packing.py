@@ -2,11 +2,13 @@
 
 A document of n ids is cut, in order, into pieces of ``max_length`` ids and then pieces of the binary digits of the
 rest, largest first.  Each piece is a sequence of its own, so no sequence crosses documents and none is padded;
-sequences of equal length share a bucket (``bucket`` = log2 of the length), which is what a trainer batches by.
+sequences of equal length share a bucket (``bucket`` = log2 of the length), which is what a trainer batches by: each task sorts its
+sequences by bucket, so that those of one length follow each other, by their ids too, and ``write_buckets`` writes a folder for each.
 No shuffle: a sequence's id is its partition and its place there.
 
-Defined cases: a null text is an empty text and packs as the end id alone; an empty table gives an empty result;
-repeated rows are packed once each; ids of rows are passed on as they are, nulls included; other columns are ignored.
+Defined cases: a null text is an empty text and packs as the end id alone; a very long text is one row, its pieces many rows; an
+empty table gives an empty result; repeated rows are packed once each; pieces of one length stand in any order; ids of rows are
+passed on as they are, nulls included; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,7 +67,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_length: int = MAX_LENGTH, end
 
     schema = f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, bucket int" + ", ids array<int>" * with_ids
     packed = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
-    return packed.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
+    return packed.sortWithinPartitions(F.desc("bucket")).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
