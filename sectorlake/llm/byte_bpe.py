@@ -3,7 +3,8 @@
 The merges of each pretoken run on a segment tree of pair ranks (see ``bpe``).  No shuffle; a task holds one Arrow
 batch and a bounded memory of pretokens.
 
-Defined cases: a null text is an empty text (no ids); repeated rows give repeated results; an empty table gives an
+Defined cases: a null text is an empty text (no ids); a very long text is one row, and a pretoken of any length takes a logarithmic
+number of steps a merge; repeated rows give repeated results; an empty table gives an
 empty result; ties between equal ranks go to the leftmost pair; columns other than the two named are ignored.
 """
 

@@ -137,6 +137,28 @@ def test_classifiers_on_held_out_rows(spark, kind, label):
     assert {(r.doc_id, round(r.score, 6)) for r in got} == {(r.doc_id, round(r.score, 6)) for r in again}
 
 
+@pytest.mark.parametrize("kind", [toxicity, quality_classifier])
+def test_scores_against_brute_force(spark, kind):
+    """The query's scores, by summing over all pairs of each text's features."""
+    docs, labels = corpus(spark, 600)
+    model = kind.fit(docs, labels)
+    m, factors = model.machine, dict(zip(model.machine.factored.tolist(), model.machine.factor, strict=True))
+    for r in kind.score(docs, model, keep=("text",)).limit(60).collect():
+        features = set()
+        for _, _, data, offsets in tc.chunks(pa.array([r.text])):
+            rows, hashes = classifiers.terms(data, offsets, model.prefixes)
+            known = set(classifiers.leveled(rows, hashes, np.array([len(hashes)]))[1].tolist())
+            features = {k for k, name in enumerate(model.names.tolist()) if name in known}
+            if model.edges is not None:
+                shape = classifiers.shapes(classifiers.stats(data, offsets))[0]
+                features |= {len(model.names) + k * classifiers.BINS + sum(x >= e for e in model.edges[k]) for k, x in enumerate(shape)}
+        z = m.bias + sum(m.weight[k] for k in features)
+        some = [factors[k] for k in features if k in factors]
+        z += sum(float(a @ b) for k, a in enumerate(some) for b in some[k + 1 :])
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+        assert r.predicted == int(r.score >= kind.THRESHOLD)
+
+
 def test_labels_of_held_out_rows_and_missing_labels_teach_nothing(spark):
     docs, labels = corpus(spark, 300)
     flipped = labels.withColumn("toxic", __import__("pyspark").sql.functions.when(classifiers.held_out(), 1 - labels.toxic).otherwise(labels.toxic))

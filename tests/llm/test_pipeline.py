@@ -1,6 +1,6 @@
 import corpus_pipeline
 from sectorlake.llm import queries
-from tests.llm.test_dedup import brute_near
+from tests.llm.test_dedup import brute_lines, brute_near
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,6 +25,7 @@ def test_stages(spark, tmp_path):
             assert all(before[i] == t for i, t in now.items()) and 0 < len(now) < len(before)
         if name == "line_dedup":
             assert set(now) == set(before) and all(r.n_chars == len(r.text) for r in rows)
+            assert now == {i: new for (i, _), (new, *_) in brute_lines(list(before.items())).items()}
         if name == "minhash_dedup":
             assert set(now) == {c for _, c in brute_near(sorted(before.items()))}
         docs, before = out, now

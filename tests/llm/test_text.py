@@ -115,6 +115,9 @@ def test_packing_tables(spark, library, tmp_path):
     got = packing.pack(docs, JSON, with_ids=True).cache()
     seen = got.collect()
     assert len({r.sequence_id for r in seen}) == len(seen) and all(r.offset == 0 and r.length == 1 << r.bucket for r in seen)
+    for task in {r.sequence_id >> 33 for r in seen}:  # a task's sequences of one length follow each other
+        mine = [r.bucket for r in sorted(seen, key=lambda r: r.sequence_id) if r.sequence_id >> 33 == task]
+        assert mine == sorted(mine, reverse=True)
     for i, t, *_ in rows:
         ids = [*library[1].encode(t or "", add_special_tokens=False).ids, 0]
         mine = sorted((r for r in seen if r.doc_id == i), key=lambda r: (r.start, r.sequence_id))
@@ -196,6 +199,59 @@ def test_em_finds_the_rules_accuracies(share):
     assert (kept & against).sum() > 0.5 * kept.sum()
 
 
+def brute_votes(text):
+    """The pattern of a text's votes, counted by plain means."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n_words, chars, symbols, dup, repeat = brute_stats(text)
+    lines = [x.strip(" \t\r\f\v") for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    count = lambda p: len(re.findall(p, text))
+    upper, lower, high, digits = count("[A-Z]"), count("[a-z]"), count(r"[^\x00-\x7f]"), count("[0-9]")
+    punct = count(r"[!-/:-@\[-`{-~]")
+    measured = {
+        "symbols": (symbols, n_words), "symbol_chars": (symbols, chars), "punctuation": (punct, chars), "repeats": (repeat, n_words), "dup_lines": (dup, len(lines)), "capitals": (upper, upper + lower), "shouting": (sum(w.endswith("!") for w in words), n_words),
+        "letters": (upper + lower + high, chars), "variety": (len(set(words)), n_words), "word_length": (chars, n_words), "digits": (digits, chars), "endings": (sum(x[-1] in ".!?:;" for x in lines), len(lines)),
+    }
+    pattern = 0
+    for k, (name, _, (bad_side, bad), (good_side, good)) in enumerate(quality_rules.RULES):
+        part, whole = measured[name]
+        share = part / max(whole, 1)
+        vote = (share > good if good_side == ">" else share < good) - (share > bad if bad_side == ">" else share < bad) if whole else 0
+        pattern += (vote + 1) * 3**k
+    return pattern
+
+
+def test_quality_query_against_brute_force(spark):
+    from sectorlake.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    counts, patterns = {}, {i: brute_votes(t) for i, t in texts.items()}
+    for p in patterns.values():
+        counts[p] = counts.get(p, 0) + 1
+    posterior, _, _ = quality_rules.estimate(counts)
+    got = queries.op7_quality_rules(spark, folder).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_stats(texts[r.doc_id])
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        assert r.base_failed == failed and r.quality == pytest.approx(posterior[patterns[r.doc_id]]) and r.kept == (not failed and posterior[patterns[r.doc_id]] >= 0.5)
+
+
+def test_very_long_texts(spark):
+    """One text of megabytes beside small ones: whole results."""
+    r = random.Random(11)
+    words = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in ("n", "r", "st", "")]
+    long = "\n".join(" ".join(r.choice(words) for _ in range(12)) + "." for _ in range(30000))
+    docs = spark.createDataFrame([(1, long), (2, "short"), (3, None)], "doc_id bigint, text string")
+    got = {x.doc_id: x for x in quality_rules.judge(docs).collect()}
+    assert (got[1].n_words, got[1].n_dup_lines) == (360000, 30000 - len(set(long.split("\n"))))
+    assert {x.doc_id: x.decoded_sha256 for x in byte_bpe.digests(docs, RANKS).collect()}[1] == hashlib.sha256(long.encode()).hexdigest()
+    pieces = packing.pack(docs, JSON).where("doc_id = 1").collect()
+    assert sum(x.length for x in pieces) == pieces[0].doc_tokens > 360000
+    page = "<article>" + "".join(f"<p>{x}</p>" for x in long.split("\n")) + "</article>"
+    assert html_extract.main_text(page) == " ".join(long.split())
+
+
 def test_one_wrong_vote_is_outvoted(spark):
     """A good document with many figures, which the rule for digits votes against, is kept."""
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
@@ -310,6 +366,16 @@ def test_licenses(spark):
     assert sorted(map(key, con.execute(f"SELECT doc_id, digest, canonical_chars, license_id FROM ({licenses.oracle()})").fetchall())) == sorted(key((r.doc_id, r.digest, r.canonical_chars, r.license_id)) for r in licenses.scan(docs).collect())
 
 
+def test_equivalent_spellings_and_more_licenses(spark):
+    known = dict(licenses.KNOWN)
+    texts = [known["Unlicense"].replace("recognize", "recognise"), known["BSL-1.0"].replace("organization", "organisation").replace("HOLDERS", "OWNERS"), known["MIT-0"], known["BSD-3-Clause"].replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR")]
+    pairs = [("a licence licence b", "a license license b"), ("licence licence", "license license"), ("sub license sub-licence.", "sublicense sublicense"), ("favour organise favour", "favor organize favor")]
+    docs = spark.createDataFrame(list(enumerate([*texts, *(x for p in pairs for x in p)])), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert [got[k].license_id for k in range(4)] == ["Unlicense", "BSL-1.0", "MIT-0", "BSD-3-Clause"]
+    assert all(got[k].digest == got[k + 1].digest for k in range(4, 12, 2))
+
+
 def test_copyright_lines_with_names(spark):
     import duckdb
 
