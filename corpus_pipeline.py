@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept.  A stage is written as Parquet and
 reread before the next; all but the last return the columns of documents.
+
+Defined cases: a null or empty text fails the quality rules; very long texts are rows like others; of documents that are near each
+other the least doc_id stays; repeated rows of one doc_id and text count once after near-dedup; a row with a null doc_id passes every
+stage that its text passes; an empty table gives empty stages; extra columns are passed on up to packing.
 """
 
 from __future__ import annotations
