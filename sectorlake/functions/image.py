@@ -150,9 +150,9 @@ class Image:
         """The file's bytes; what is missing is zero."""
         return self._joined(sector, self.data_sectors(sector) if pointers or self.ffs else self.chain(sector))
 
-    def content_compat(self, sector: int) -> bytes:
-        """As viewers read it: OFS along the links, FFS up to about 20 MB and zeros beyond."""
-        return self._joined(sector, self.data_sectors(sector, READ_LIMIT) if self.ffs else self.chain(sector))
+    def content_compat(self, sector: int, limit: int = READ_LIMIT) -> bytes:
+        """As viewers read it: OFS along the links, FFS up to about 20 MB (``limit`` sectors) and zeros beyond."""
+        return self._joined(sector, self.data_sectors(sector, limit) if self.ffs else self.chain(sector))
 
     def _joined(self, sector: int, found: list[tuple[int, int]]) -> bytes:
         size = min(self.long(sector, SECTOR - 188), len(self.data))
