@@ -14,7 +14,7 @@ grow with vectors and tiles, not with links.
 Defined cases: a vector that is null, empty, all zero, or holds a null or non-finite component links with nothing, and
 so does one with a null label or of another length; a null vec_id has no links and a null component; equal rows
 link with each other like any two equal vectors, and rows with one vec_id share a component; an empty table gives an
-empty result; columns other than those named are ignored.
+empty result; vectors of any length are compared with those of their length; columns other than those named are ignored.
 """
 
 from __future__ import annotations

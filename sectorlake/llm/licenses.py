@@ -4,7 +4,7 @@ A text is normalised (ASCII case, copyright lines, equivalent spellings, punctua
 the whole result is hash-joined to the digests of known licence texts.  The known side is a small table of constants
 by default; Spark broadcasts it while it is under its size threshold and shuffles both sides by digest beyond.
 
-Defined cases: a null text is an empty text; an empty normal form never matches; of several known licences with one
+Defined cases: a null text is an empty text; an empty normal form never matches; a very long text is one row, its work linear; of several known licences with one
 digest the first by name counts; repeated rows give repeated results; an empty table gives an empty result; columns
 other than the two named are ignored.
 """

@@ -7,7 +7,7 @@ reaches one half, whatever single rules say.  It is run from several starts, and
 once; the counts have at most 3 ** len(RULES) rows, whatever the input, and so has the table that is joined back.
 
 Defined cases: a null text is an empty text, without words; a rule without what it measures abstains; repeated rows
-vote once each and get equal results; a very long text is one row, its work linear; an empty table gives an empty result; columns
+vote once each and get equal results; a posterior right at the threshold keeps; a very long text is one row, its work linear; an empty table gives an empty result; columns
 other than those named are ignored.
 """
 

@@ -335,3 +335,18 @@ def test_passages_that_start_or_end_inside_a_line(spark):
     assert (got[2].text, got[2].n_removed_lines, got[2].source_ids) == (f"{lines[0]}\n{lines[2]}", 1, [1])
     assert (got[7].n_removed_lines, got[7].source_ids) == (1, [5]) and c not in got[7].text.split("\n")
     assert all(got[i].text == t and not got[i].source_ids for i, t in rows if i not in (2, 7))
+
+
+def test_very_long_documents(spark):
+    """Megabytes in one row: a near copy with changed lines, and a small document with a passage of it."""
+    r = random.Random(12)
+    lines = [" ".join(f"w{r.randrange(99999)}" for _ in range(r.randint(4, 20))) for _ in range(25000)]
+    copy = list(lines)
+    for k in range(0, 25000, 500):
+        copy[k] = f"other words {k} that stand here alone"
+    few = [*lines[700:720], "and words of its own"]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(copy)), (3, "\n".join(few))], "doc_id bigint, text string")
+    got = {x.doc_id: x for x in line_dedup.dedup(docs).select("row.doc_id", "text", "n_removed_lines", "source_ids").collect()}
+    assert got[1].n_removed_lines == 0 and got[3].text == few[-1] and got[3].source_ids == [1]
+    assert got[2].text.split("\n") == [x for x in copy if x.startswith("other")]
+    assert {x.doc_id: x.class_id for x in minhash_dedup.dedup(docs).collect()} == {1: 1, 2: 1, 3: 3}

@@ -137,6 +137,16 @@ def test_classifiers_on_held_out_rows(spark, kind, label):
     assert {(r.doc_id, round(r.score, 6)) for r in got} == {(r.doc_id, round(r.score, 6)) for r in again}
 
 
+@pytest.mark.parametrize("kind", [toxicity, quality_classifier])
+def test_very_long_texts_are_scored_whole(spark, kind):
+    docs, labels = corpus(spark, 600)
+    model = kind.fit(docs, labels)
+    filler = " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}" for k in range(300000))
+    rows = [(1, filler), (2, filler + " zorkish Zorkheit, VUMP! zorkish VUMP! " + filler), (3, "")]
+    got = {r.doc_id: r.score for r in kind.score(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    assert len(got) == 3 and all(0 <= s <= 1 for s in got.values()) and (kind is not toxicity or got[2] > got[1])
+
+
 @pytest.mark.parametrize("kind", [toxicity, quality_classifier])
 def test_scores_against_brute_force(spark, kind):
     """The query's scores, by summing over all pairs of each text's features."""
