@@ -305,15 +305,15 @@ def type_info(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", detect.inspect(data).alias("info"))
 
 
-# Archives: a document is a disk, or several if it does not fit one; odd disks are packed with runs.
+# Archives: a document is a disk, or several if it does not fit one; all modes of packing take turns.
 _DISK = archive.TRACKS * archive.TRACK_BYTES
-_PARTS_SQL = f"(SELECT doc_id || '-' || part AS archive_id, part % 2 AS mode, substr(h, part * {2 * _DISK} + 1, {2 * _DISK}) AS h FROM (SELECT doc_id, hex(encode(text)) AS h, unnest(range(CAST(ceil(octet_length(encode(text)) / {_DISK}.0) AS BIGINT))) AS part FROM documents))".replace("part % 2", "doc_id % 2")
+_PARTS_SQL = f"(SELECT doc_id || '-' || part AS archive_id, doc_id % 7 AS mode, substr(h, part * {2 * _DISK} + 1, {2 * _DISK}) AS h FROM (SELECT doc_id, hex(encode(text)) AS h, unnest(range(CAST(ceil(octet_length(encode(text)) / {_DISK}.0) AS BIGINT))) AS part FROM documents))"
 
 
-def _archives(spark, sf_dir) -> DataFrame:
+def _archives(spark, sf_dir, password: str | None = None) -> DataFrame:
     held = table(spark, sf_dir, "documents").select("doc_id", content().alias("content")).where(F.octet_length("content") > 0)
     cut = held.select("doc_id", F.posexplode(images.cut_sectors(F.col("content"), F.ceil(F.octet_length("content") / _DISK).cast("int"), _DISK)).alias("part", "content"))
-    return archive.from_images(cut.select(F.concat_ws("-", "doc_id", "part").alias("archive_id"), (F.col("doc_id") % 2).cast("int").alias("mode"), "content"))
+    return archive.from_images(cut.select(F.concat_ws("-", "doc_id", "part").alias("archive_id"), (F.col("doc_id") % 7).cast("int").alias("mode"), "content"), password)
 
 
 @query(f"SELECT archive_id, CAST(mode AS BIGINT) AS mode, CAST(ceil(length(h) / {2.0 * archive.TRACK_BYTES}) AS BIGINT) * {archive.TRACK_BYTES} AS unpacked, 'ok' AS status FROM {_PARTS_SQL}")
@@ -336,6 +336,16 @@ def archive_images(spark, sf_dir):
     return archive.to_images(_archives(spark, sf_dir)).select("archive_id", F.md5(F.hex("content")).alias("md5"))
 
 
+@query(f"SELECT archive_id, 'encrypted' AS flags, md5(rpad(h, {2 * _DISK}, '0')) AS md5, 'ok' AS status, 'wrong password' AS otherwise FROM {_PARTS_SQL} WHERE archive_id LIKE '%3-0'")
+def archive_encrypted(spark, sf_dir):
+    """Encrypted archives with their password and with another one."""
+    held = _archives(spark, sf_dir, "secret").where("archive_id LIKE '%3-0'")
+    flags = archive.archive_headers(held).select("archive_id", F.array_join("flags", ",").alias("flags"))
+    good = archive.to_images(held, "secret").select("archive_id", F.md5(F.hex("content")).alias("md5"), "status")
+    bad = archive.to_images(held, "guess").select("archive_id", F.col("status").alias("otherwise"))
+    return flags.join(good, "archive_id").join(bad, "archive_id")
+
+
 # Pictures of one plane, 64 pixels wide: a document's bytes are the lines; odd ones are packed.
 _LINES = "CAST(ceil(octet_length(encode(text)) / 8.0) AS BIGINT)"
 

@@ -251,8 +251,9 @@ def test_packed_disks_come_back():
     r = random.Random(6)
     for n in (0, 1, 11264, 30000):
         disk = b"".join(r.choice([b"\x90", b"ab", bytes(300), b"\x90" * 5, b"x" * 70000]) for _ in range(n // 300 + 1))[:n]
-        for mode in (0, 1):
+        for mode in range(7):
             got, extras, status = a.unpack(a.pack(disk, mode))
+            assert a.unpack(a.pack(disk, mode, "word"), "word")[0] == got
             assert status == "ok" and not extras and got == disk.ljust(80 * 11264, b"\0")
     with pytest.raises(ValueError):
         a.pack(bytes(80 * 11264 + 1))
