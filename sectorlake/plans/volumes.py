@@ -330,20 +330,29 @@ def archive_tracks(spark, sf_dir):
     return found.select("archive_id", "number", "mode", "unpacked", "status", F.md5(F.hex("data")).alias("md5"))
 
 
-@query(f"SELECT archive_id, md5(rpad(h, {2 * _DISK}, '0')) AS md5 FROM {_PARTS_SQL}")
+_TRACKS_SQL = f"(SELECT archive_id, mode, CAST(number AS INTEGER) AS number, md5(rpad(substr(h, number * {2 * archive.TRACK_BYTES} + 1, {2 * archive.TRACK_BYTES}), {2 * archive.TRACK_BYTES}, '0')) AS md5 FROM (SELECT *, unnest(range(CAST(ceil(length(h) / {2.0 * archive.TRACK_BYTES}) AS BIGINT))) AS number FROM {_PARTS_SQL}))"
+
+
+def _disk_tracks(disks: DataFrame) -> DataFrame:
+    """(archive_id, status, size, number, md5) of the tracks of disk images that hold anything."""
+    cut = images.cut_sectors(F.col("content"), F.lit(archive.TRACKS), archive.TRACK_BYTES)
+    tracks = disks.select("archive_id", "status", F.octet_length("content").alias("size"), F.posexplode(cut).alias("number", "data"))
+    return tracks.where(F.col("data") != b.filled(archive.TRACK_BYTES)).select("archive_id", "status", "size", "number", F.md5(F.hex("data")).alias("md5"))
+
+
+@query(f"SELECT archive_id, 'ok' AS status, {_DISK} AS size, number, md5 FROM {_TRACKS_SQL}")
 def archive_images(spark, sf_dir):
     """Archives unpacked to disk images."""
-    return archive.to_images(_archives(spark, sf_dir)).select("archive_id", F.md5(F.hex("content")).alias("md5"))
+    return _disk_tracks(archive.to_images(_archives(spark, sf_dir)))
 
 
-@query(f"SELECT archive_id, 'encrypted' AS flags, md5(rpad(h, {2 * _DISK}, '0')) AS md5, 'ok' AS status, 'wrong password' AS otherwise FROM {_PARTS_SQL} WHERE archive_id LIKE '%3-0'")
+@query(f"SELECT archive_id, 'encrypted' AS flags, 'ok' AS status, {_DISK} AS size, number, md5, 'wrong password' AS otherwise FROM {_TRACKS_SQL} WHERE archive_id LIKE '%3-0'")
 def archive_encrypted(spark, sf_dir):
     """Encrypted archives with their password and with another one."""
     held = _archives(spark, sf_dir, "secret").where("archive_id LIKE '%3-0'")
     flags = archive.archive_headers(held).select("archive_id", F.array_join("flags", ",").alias("flags"))
-    good = archive.to_images(held, "secret").select("archive_id", F.md5(F.hex("content")).alias("md5"), "status")
     bad = archive.to_images(held, "guess").select("archive_id", F.col("status").alias("otherwise"))
-    return flags.join(good, "archive_id").join(bad, "archive_id")
+    return _disk_tracks(archive.to_images(held, "secret")).join(flags, "archive_id").join(bad, "archive_id")
 
 
 # Pictures of one plane, 64 pixels wide: a document's bytes are the lines; odd ones are packed.
@@ -364,7 +373,14 @@ def _pictures(spark, sf_dir) -> DataFrame:
 
 
 _PICTURE_SQL = f"(SELECT doc_id, CAST(doc_id AS VARCHAR) AS disk_id, {_LINES} AS lines, hex(encode(text)) AS h FROM documents WHERE octet_length(encode(text)) BETWEEN 1 AND {8 * 65535})"
-_NIBBLES = "['" + "', '".join("".join("FFFFFF" if k >> j & 1 else "000000" for j in (3, 2, 1, 0)) for k in range(16)) + "']"
+
+
+def _pixels_sql(h: str, zero: str, one: str) -> str:
+    """The colours of the bits of hexadecimal text, by one replacement for each digit."""
+    out = f"translate({h}, '0123456789ABCDEF', 'ghijklmnopqrstuv')"
+    for k in range(16):
+        out = f"replace({out}, '{'ghijklmnopqrstuv'[k]}', '{''.join(one if k >> j & 1 else zero for j in (3, 2, 1, 0))}')"
+    return out
 
 
 @query(f"SELECT disk_id, 64 AS width, CAST(lines AS INTEGER) AS height, 1 AS planes, CAST(doc_id % 2 AS INTEGER) AS compression, 2 AS colours FROM {_PICTURE_SQL}")
@@ -372,7 +388,7 @@ def picture_headers(spark, sf_dir):
     return iff.pictures(_pictures(spark, sf_dir)).select("disk_id", "width", "height", "planes", "compression", "colours")
 
 
-@query(f"SELECT disk_id, md5(array_to_string(list_transform(range(CAST(lines AS INTEGER) * 16), lambda i: list_extract({_NIBBLES}, CAST('0x' || substr(rpad(h, CAST(lines * 16 AS INTEGER), '0'), i + 1, 1) AS INTEGER) + 1)), '')) AS md5 FROM {_PICTURE_SQL}")
+@query(f"SELECT disk_id, md5({_pixels_sql("rpad(h, CAST(lines * 16 AS INTEGER), '0')", '000000', 'FFFFFF')}) AS md5 FROM {_PICTURE_SQL}")
 def picture_rasters(spark, sf_dir):
     """Planes, packed or not, turned to colours."""
     return iff.rasters(_pictures(spark, sf_dir)).select("disk_id", F.md5(F.hex("rgb")).alias("md5"))
@@ -405,9 +421,6 @@ def _icons(spark, sf_dir) -> DataFrame:
 
 
 _ICON_SQL = f"(SELECT doc_id, CAST(doc_id AS VARCHAR) AS disk_id, {_LINES} AS lines, hex(encode(text)) AS h FROM documents WHERE octet_length(encode(text)) BETWEEN 1 AND {8 * _ICON_LINES})"
-_CLEAR = "['" + "', '".join("".join("FFFFFFFF" if k >> j & 1 else "55AAFF00" for j in (3, 2, 1, 0)) for k in range(16)) + "']"
-
-
 @query(f"SELECT disk_id, CAST(lines AS INTEGER) AS height, CAST(doc_id % 1000 AS BIGINT) AS current_x, 'SYS:Tool' || doc_id AS default_tool, 'NUMBER=' || doc_id || ' B' AS tool_types, CAST(doc_id % 2 AS INTEGER) AS colour_states FROM {_ICON_SQL}")
 def icon_headers(spark, sf_dir):
     from sectorlake.operators import icon
@@ -417,7 +430,7 @@ def icon_headers(spark, sf_dir):
 
 @query(f"""
     SELECT disk_id, CASE WHEN doc_id % 2 = 1 THEN 2 ELSE 64 END AS width, CASE WHEN doc_id % 2 = 1 THEN md5('090807FF090807FF')
-        ELSE md5(array_to_string(list_transform(range(CAST(lines AS INTEGER) * 16), lambda i: list_extract({_CLEAR}, CAST('0x' || substr(rpad(h, CAST(lines * 16 AS INTEGER), '0'), i + 1, 1) AS INTEGER) + 1)), '')) END AS md5 FROM {_ICON_SQL}""")
+        ELSE md5({_pixels_sql("rpad(h, CAST(lines * 16 AS INTEGER), '0')", '55AAFF00', 'FFFFFFFF')}) END AS md5 FROM {_ICON_SQL}""")
 def icon_rasters(spark, sf_dir):
     """What is shown of icons: a colour state, or the plane in the fixed colours."""
     from sectorlake.operators import icon
