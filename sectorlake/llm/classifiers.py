@@ -191,7 +191,8 @@ def held(rows: DataFrame, names: np.ndarray) -> tuple[np.ndarray, list[np.ndarra
 
     got = rows.select("y", "terms", "shape").mapInArrow(run, "y int, features binary, shape binary").toArrow()
     found = sorted(zip(*(got[c].to_pylist() for c in ("features", "shape", "y")), strict=True))
-    unpack = lambda f: np.flatnonzero(np.unpackbits(np.frombuffer(f, np.uint8, offset=1))) if f[:1] == b"b" else np.frombuffer(f, "<u4", offset=1).astype(np.int64)
+    del got
+    unpack = lambda f: np.flatnonzero(np.unpackbits(np.frombuffer(f, np.uint8, offset=1))).astype(np.uint32) if f[:1] == b"b" else np.frombuffer(f, "<u4", offset=1)
     return np.array([y for *_, y in found], float), [unpack(f) for f, *_ in found], np.array([np.frombuffer(s) for _, s, _ in found])
 
 
@@ -203,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id",
     edges, n = None, len(names)
     if structure:
         edges = np.quantile(shape, np.arange(1, BINS) / BINS, axis=0).T if len(shape) else np.zeros((len(SHAPES), BINS - 1))
-        picked = [np.concatenate([p, n + b]) for p, b in zip(picked, binned(shape, edges), strict=True)] if len(shape) else picked
+        picked = [np.concatenate([p, (n + b).astype(np.uint32)]) for p, b in zip(picked, binned(shape, edges), strict=True)] if len(shape) else picked
         n += len(SHAPES) * BINS
     machine = fm.fit(picked, y, n, positive_weight=positive_weight)
     kept = np.union1d(np.union1d(np.flatnonzero(machine.weight), machine.factored), np.arange(len(names), n)).astype(np.int64)

@@ -55,14 +55,14 @@ def fit(sets: list[np.ndarray], y: np.ndarray, n_features: int, rank: int = 8, s
         return m
     rng = np.random.default_rng(seed)
     count = np.array([len(s) for s in sets])
-    begin, flat = np.cumsum(count) - count, np.concatenate(sets).astype(np.int64)
+    begin, flat = np.cumsum(count) - count, np.concatenate(sets).astype(np.int32)
     share = y.mean()
     m.bias = float(np.log(share / (1 - share)))
     cost = np.where(y == 1, positive_weight, 1.0)
     g0, gw, gv = 1e-8, np.full(n_features, 1e-8), np.zeros((0, rank))
     for joint in (False, True):
         if joint:
-            m.factored = _interacting(m, flat, count, y, cost)
+            m.factored = _interacting(m, flat, begin, count, y, cost)
             if not len(m.factored):
                 break
             m.factor = rng.normal(0, 0.01, (len(m.factored), rank))
@@ -90,28 +90,29 @@ def fit(sets: list[np.ndarray], y: np.ndarray, n_features: int, rank: int = 8, s
     return m
 
 
-def _interacting(m: Machine, flat: np.ndarray, count: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+def _interacting(m: Machine, flat: np.ndarray, begin: np.ndarray, count: np.ndarray, y: np.ndarray, cost: np.ndarray, block: int = 1024) -> np.ndarray:
     """The features (sorted) of the pairs that stand out most in what the weights miss."""
     n_features = len(m.weight)
     often = np.lexsort((np.arange(n_features), -np.bincount(flat, minlength=n_features)))[: PAIRED // 2]
     large = np.lexsort((np.arange(n_features), -np.abs(m.weight)))[: PAIRED // 2]
     asked = np.union1d(often, large)
-    place = np.full(n_features, -1)
+    place = np.full(n_features, -1, np.int32)
     place[asked] = np.arange(len(asked))
-    rows = np.repeat(np.arange(len(y)), count)
-    error = ((m.score(rows, flat, len(y)) - y) * cost).astype(np.float32)
-    at = place[flat]
-    rows, at = rows[at >= 0], at[at >= 0]
     sums, squares, held = (np.zeros((len(asked), len(asked)), np.float32) for _ in range(3))
-    cuts = np.searchsorted(rows, np.arange(0, len(y) + 1024, 1024))
-    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        x = np.zeros((min(1024, len(y) - 1024 * k), len(asked)), np.float32)
-        x[rows[a:b] - 1024 * k, at[a:b]] = 1
-        e = error[1024 * k : 1024 * k + len(x), None]
-        sums += (x * e).T @ x
-        squares += (x * e * e).T @ x
+    for lo in range(0, len(y), block):
+        k = count[lo : lo + block]
+        features = flat[begin[lo] : begin[lo] + k.sum()]
+        rows = np.repeat(np.arange(len(k)), k)
+        error = ((m.score(rows, features, len(k)) - y[lo : lo + block]) * cost[lo : lo + block]).astype(np.float32)[:, None]
+        at = place[features]
+        x = np.zeros((len(k), len(asked)), np.float32)
+        x[rows[at >= 0], at[at >= 0]] = 1
         held += x.T @ x
-    out = np.abs(sums) / np.sqrt(squares + 1e-6)
+        sums += (x * error).T @ x
+        squares += (x * error * error).T @ x
+    np.sqrt(squares + 1e-6, out=squares)
+    out = np.abs(sums, out=sums)
+    out /= squares
     out[held < 10] = 0  # too rare to tell
     np.fill_diagonal(out, 0)
     best = out.max(1)
