@@ -71,19 +71,22 @@ def _throw(out: np.ndarray, elements: np.ndarray, owner: np.ndarray, weights: np
         w = None if weights is None else weights[at]
         bound, dart = limit[o], 0
         while len(e):
-            h = mix(e + U64(dart * int(_C[0]) & 0xFFFFFFFFFFFFFFFF))
-            rank = rank - np.log(((h >> U64(11)) + U64(1)).astype(np.float64) * 2.0**-53) / width
-            live = rank <= bound
-            e, o, rank, bound, h = e[live], o[live], rank[live], bound[live], h[live]
-            g = mix(h ^ _C[2])
-            hit = slice(None)
+            n = min(256, max(1, (1 << 16) // len(e)))  # darts of each element at a time: many where few elements are left
+            h = mix(e[:, None] + np.arange(dart, dart + n, dtype=U64) * _C[0])
+            step = np.log(((h >> U64(11)) + U64(1)).astype(np.float64) * 2.0**-53) / -width
+            step[:, 0] += rank
+            arrival = np.cumsum(step, 1)
+            live = arrival <= bound[:, None]
+            hits = live.sum(1)
+            g, when, set_ = mix(h[live] ^ _C[2]), arrival[live], np.repeat(o, hits)
             if w is not None:
-                w = w[live]
-                hit = low + width * (mix(g ^ _C[1]) >> U64(11)).astype(np.float64) * 2.0**-53 <= w
-            coordinate = (g >> U64(32)) % U64(K)
-            packed = rank.astype(np.float32).view(np.uint32).astype(U64) << U64(32) | (g & U64(0xFFFFFFFF))
-            np.minimum.at(flat, (o[hit] * K + coordinate[hit].astype(np.int64)), packed[hit])
-            dart += 1
+                inside = low + width * (mix(g ^ _C[1]) >> U64(11)).astype(np.float64) * 2.0**-53 <= np.repeat(w, hits)
+                g, when, set_ = g[inside], when[inside], set_[inside]
+            packed = when.astype(np.float32).view(np.uint32).astype(U64) << U64(32) | (g & U64(0xFFFFFFFF))
+            np.minimum.at(flat, set_ * K + ((g >> U64(32)) % U64(K)).astype(np.int64), packed)
+            more = live[:, -1]
+            e, o, rank, bound, w = e[more], o[more], arrival[more, -1], bound[more], None if w is None else w[more]
+            dart += n
 
 
 def bands(signature: np.ndarray) -> np.ndarray:
