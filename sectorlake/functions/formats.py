@@ -56,8 +56,10 @@ def date_text_compat(days: Column, minutes: Column, ticks: Column) -> Column:
 
 
 def unix_date_text(seconds: Column) -> Column:
-    """``D Mon YYYY H:M:S``, nothing padded."""
-    return F.date_format(F.timestamp_seconds(seconds), "d MMM yyyy H:m:s")
+    """``D Mon YYYY H:M:S`` in UTC, nothing padded; years of five digits have no sign, which ``yyyy`` would give them."""
+    rest = F.pmod(seconds, F.lit(86400))
+    at = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(((seconds - rest) / 86400).cast("int"), F.lit(0), F.lit(0), rest.cast("decimal(18,6)"))
+    return F.concat_ws(" ", F.date_format(at, "d MMM"), F.year(at).cast("string"), F.date_format(at, "H:m:s"))
 
 
 def hex_byte(value: Column) -> Column:

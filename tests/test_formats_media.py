@@ -99,3 +99,13 @@ def test_archives_in_tables(spark):
     assert [r.number for r in archive.archive_tracks(files).orderBy("number").collect()] == [0, 80]
     assert {r.archive_id: r.status for r in archive.archive_headers(files).collect()} == {"a": "ok", "b": "not an archive"}
     assert [(r.name, bytes(r.content)) for r in archive.extras(files).collect()] == [("FILEID.DIZ", b"diz")]
+
+
+def test_unix_dates_of_years_beyond_9999(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # dates are shown in UTC
+        got = spark.createDataFrame([(0,), (253_402_300_799,), (253_402_300_800,), (256_409 * 1_000_003,), (-1,)], "s bigint").select(f.unix_date_text(F.col("s"))).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [r[0] for r in got] == ["1 Jan 1970 0:0:0", "31 Dec 9999 23:59:59", "1 Jan 10000 0:0:0", "20 Apr 10095 15:53:47", "31 Dec 1969 23:59:59"]
