@@ -335,17 +335,15 @@ def archive_tracks(spark, sf_dir):
 _TRACKS_SQL = f"(SELECT archive_id, mode, CAST(number AS INTEGER) AS number, md5(rpad(substr(h, number * {2 * archive.TRACK_BYTES} + 1, {2 * archive.TRACK_BYTES}), {2 * archive.TRACK_BYTES}, '0')) AS md5 FROM (SELECT *, unnest(range(CAST(ceil(length(h) / {2.0 * archive.TRACK_BYTES}) AS BIGINT))) AS number FROM {_PARTS_SQL}))"
 
 
-def _disk_tracks(disks: DataFrame) -> DataFrame:
-    """(archive_id, status, size, number, md5) of the tracks of disk images that hold anything."""
-    cut = images.cut_sectors(F.col("content"), F.lit(archive.TRACKS), archive.TRACK_BYTES)
-    tracks = disks.select("archive_id", "status", F.octet_length("content").alias("size"), F.posexplode(cut).alias("number", "data"))
-    return tracks.where(F.col("data") != b.filled(archive.TRACK_BYTES)).select("archive_id", "status", "size", "number", F.md5(F.hex("data")).alias("md5"))
+def _disk_tracks(tracks: DataFrame) -> DataFrame:
+    """Tracks of disk images that hold anything, with their md5."""
+    return tracks.where("number IS NOT NULL").withColumn("md5", F.md5(F.hex("data"))).drop("data", "problem")
 
 
 @query(f"SELECT archive_id, 'ok' AS status, {_DISK} AS size, number, md5 FROM {_TRACKS_SQL}")
 def archive_images(spark, sf_dir):
     """Archives unpacked to disk images."""
-    return _disk_tracks(archive.to_images(_archives(spark, sf_dir)))
+    return _disk_tracks(archive.image_tracks(_archives(spark, sf_dir)))
 
 
 @query(f"SELECT archive_id, 'encrypted' AS flags, 'ok' AS status, {_DISK} AS size, number, md5, 'wrong password' AS otherwise FROM {_TRACKS_SQL} WHERE archive_id LIKE '%3-0'")
