@@ -349,10 +349,13 @@ def archive_images(spark, sf_dir):
 @query(f"SELECT archive_id, 'encrypted' AS flags, 'ok' AS status, {_DISK} AS size, number, md5, 'wrong password' AS otherwise FROM {_TRACKS_SQL} WHERE archive_id LIKE '%3-0'")
 def archive_encrypted(spark, sf_dir):
     """Encrypted archives with their password and with another one."""
-    held = _archives(spark, sf_dir, "secret").where("archive_id LIKE '%3-0'")
-    flags = archive.archive_headers(held).select("archive_id", F.array_join("flags", ",").alias("flags"))
-    bad = archive.to_images(held, "guess").select("archive_id", F.col("status").alias("otherwise"))
-    return _disk_tracks(archive.to_images(held, "secret")).join(flags, "archive_id").join(bad, "archive_id")
+    held = _archives(spark, sf_dir, "secret", "archive_id LIKE '%3-0'").withColumn("archive", F.col("content"))
+    # each step keeps the archive beside what it finds, so archives are made once and nothing is joined
+    flags = archive.archive_headers(held, key=("archive_id", "archive"))
+    flags = flags.select("archive_id", F.array_join("flags", ",").alias("flags"), "archive", F.col("archive").alias("content"))
+    bad = archive.image_status(flags, "guess", key=("archive_id", "flags", "archive"))
+    bad = bad.select("archive_id", "flags", F.col("status").alias("otherwise"), F.col("archive").alias("content"))
+    return _disk_tracks(archive.image_tracks(bad, "secret", key=("archive_id", "flags", "otherwise")))
 
 
 # Pictures of one plane, 64 pixels wide: a document's bytes are the lines; odd ones are packed.
