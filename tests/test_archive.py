@@ -1,5 +1,6 @@
 import random
 import struct
+import sys
 
 import pytest
 
@@ -261,3 +262,72 @@ def test_packed_disks_come_back():
 
 def test_known_crc():
     assert a.crc16(b"123456789") == 0xBB3D
+
+
+def calls(work):
+    """How many functions a call runs through."""
+    count = 0
+
+    def seen(frame, event, arg):
+        nonlocal count
+        count += event in ("call", "c_call")
+
+    sys.setprofile(seen)
+    try:
+        out = work()
+    finally:
+        sys.setprofile(None)
+    return out, count
+
+
+def words(n):
+    r = random.Random(9)
+    return b" ".join(r.choice([b"the", b"disk", b"holds", b"many", b"words", b"and", b"\x90"]) for _ in range(n // 3))[:n]
+
+
+@pytest.mark.parametrize("mode", range(7))
+def test_unpacking_takes_few_steps_a_byte(mode):
+    text = words(60000)
+    packed_ = a.pack(text, mode)
+    (disk, _, status), count = calls(lambda: a.unpack(packed_))
+    assert status == "ok" and disk[: len(text)] == text and count < (5 if mode == 4 else 0.5) * len(text)
+
+
+@pytest.mark.parametrize("mode", range(7))
+def test_packing_takes_few_steps_a_byte(mode):
+    text = words(60000).replace(b"\x90", b"box")
+    packed_, count = calls(lambda: a.pack(text, mode))
+    assert a.unpack(packed_)[0][: len(text)] == text and count < (12 if mode == 4 else 0.5) * len(text)
+
+
+def test_sums_and_keys_against_one_byte_at_a_time():
+    r = random.Random(11)
+    for n in (0, 1, 63, 64, 255, 256, 257, 3000):
+        for data in (r.randbytes(n), bytes(n), b"\xff" * n):
+            crc, key, plain, start = 0, r.randrange(1 << 16), bytearray(), 0
+            start = key
+            for x in data:
+                crc = crc >> 8 ^ a._CRC[(crc ^ x) & 0xFF]
+                plain.append(x ^ key & 0xFF)
+                key = (key >> 1) + x & 0xFFFF
+            assert a.crc16(data) == crc and a.decrypt(data, start) == (bytes(plain), key) and a.encrypt(bytes(plain), start) == (data, key)
+
+
+def test_tracks_of_disk_images(spark):
+    disk = bytes(11264) + b"x" * 11264 + bytes(11264) + b"y"
+    files = spark.createDataFrame([("a", bytearray(a.pack(disk, 2))), ("empty", bytearray(a.pack(bytes(11264)))), ("bad", bytearray(b"nope" * 20))], "archive_id string, content binary")
+    got = {(r.archive_id, r.number): (r.status, r.size, r.data and bytes(r.data)) for r in a.image_tracks(files).collect()}
+    whole = 80 * 11264
+    assert got == {("a", 1): ("ok", whole, b"x" * 11264), ("a", 3): ("ok", whole, b"y".ljust(11264, b"\0")), ("empty", None): ("ok", whole, None), ("bad", None): ("not an archive", None, None)}
+    assert {r.archive_id: r.status for r in a.image_status(files).collect()} == {"a": "ok", "empty": "ok", "bad": "not an archive"}
+
+
+def test_archive_queries_make_each_wanted_archive_once(spark):
+    from sectorlake.plans import contract, volumes  # noqa: F401
+
+    for name, maps in (("archive_encrypted", 4), ("archive_images", 2)):
+        plan = contract.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == maps and "Join" not in plan
+    assert plan.count("octet_length(content") < 3  # images are not cut by columns
+    encrypted = contract.QUERIES["archive_encrypted"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "3-0" in encrypted[encrypted.rindex("MapInArrow") :]  # the filter stands below the packing
