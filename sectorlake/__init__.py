@@ -7,6 +7,17 @@ import tempfile
 import zipfile
 
 _shipped: set[str] = set()
+_BATCH, _DEFAULT, _SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"
+
+
+def small_batches(spark, wanted: bool = True) -> None:
+    """Images come to Python in batches of 16 MB, of which a worker has two at a time, whatever their number; or in Spark's again
+    (``wanted`` false).  A session's own setting stays."""
+    now = spark.conf.get(_BATCH)
+    if wanted and now == _DEFAULT:
+        spark.conf.set(_BATCH, _SMALL)
+    elif not wanted and now == _SMALL:
+        spark.conf.unset(_BATCH)
 
 
 def ship(spark) -> None:

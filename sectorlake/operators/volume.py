@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from sectorlake import small_batches
 from sectorlake.functions import binary as b, blocks
 from sectorlake.functions.blocks import SECTOR
 from sectorlake.functions.image import Image, ImageError
@@ -38,6 +39,7 @@ def per_image(disks: DataFrame, rows: Callable[[Image], list[tuple]], schema: st
                     columns = list(zip(*((disk, *r) for r in found), strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
+    small_batches(disks.sparkSession)
     return disks.where("reject_reason IS NULL").select("disk_id", "content").mapInArrow(run, kind)
 
 

@@ -333,7 +333,7 @@ def _written_images(spark, sf_dir) -> DataFrame:
     spec = spec.select("disk_id", (F.col("n") + F.col("n") % 2).cast("int").alias("sectors"), F.col("disk_id").alias("label"), "ffs")
     folders = held.select("disk_id", F.lit(0).cast("bigint").alias("seq"), F.lit("mkdir").alias("op"), F.lit("").alias("path"), F.col("source").alias("name"), F.lit(None).cast("binary").alias("content")).distinct()
     files = held.select("disk_id", (F.col("doc_id") + 1).alias("seq"), F.lit("write").alias("op"), F.col("source").alias("path"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), "content")
-    return described(write.apply(write.format_images(spec), folders.unionByName(files)).select("disk_id", "content"))
+    return described(write.create(spec, folders.unionByName(files)).select("disk_id", "content"))
 
 
 @query(f"SELECT disk_id, source || '/doc' || doc_id AS path, size, md5(text) AS md5 FROM ({_IMAGE_SQL})")
