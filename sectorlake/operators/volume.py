@@ -149,15 +149,17 @@ def is_empty(disks: DataFrame, wanted: DataFrame) -> DataFrame:
     return asked.join(longs, ["disk_id", "_block"], "left").withColumn("empty", F.coalesce(empty, F.lit(False))).drop("_block", "_longs", "sector_count")
 
 
-_ENTRY = "dir_sector int, bucket int, depth int, sector int, name string, type_string string, size bigint, comment string, parent int, linked_sector int, change_days bigint, change_minutes bigint, change_ticks bigint"
+_ENTRY = "dir_sector int, bucket int, depth int, sector int, name string, type_string string, size bigint, comment string, parent int, linked_sector int, change_days bigint, change_minutes bigint, change_ticks bigint, dir_name string"
 
 
 def dir_entries(disks: DataFrame, folder: int | None = None) -> DataFrame:
-    """The entries of every folder, of one folder's sector, or with ``folder=0`` of the root.  depth: place in the hash chain."""
+    """The entries of every folder, of one folder's sector, or with ``folder=0`` of the root.  depth: place in the hash chain;
+    dir_name: the folder's name, empty for the root."""
 
     def rows(im: Image) -> list[tuple]:
         wanted = im.folders() if folder is None else [folder or im.root]
-        return [(d, e.bucket, e.depth, e.sector, e.name, e.kind, e.size, e.comment, e.parent, e.linked, *e.changed) for d in wanted for e in im.entries(d)]
+        named = [(d, "" if d == im.root or not im.valid(d) else im.text(d, SECTOR - 80)) for d in wanted]
+        return [(d, e.bucket, e.depth, e.sector, e.name, e.kind, e.size, e.comment, e.parent, e.linked, *e.changed, name) for d, name in named for e in im.entries(d)]
 
     return per_image(disks, rows, _ENTRY)
 
@@ -171,8 +173,8 @@ def listing(entries: DataFrame) -> DataFrame:
 
 
 def parent_entry(entries: DataFrame) -> DataFrame:
-    """(disk_id, dir_sector, parent_sector) of each folder that has one."""
-    return entries.where("type_string = 'DIR'").select("disk_id", F.col("sector").alias("dir_sector"), F.col("parent").alias("parent_sector")).where("parent_sector > 0").distinct()
+    """(disk_id, dir_sector, folder, parent_sector) of each folder that has one."""
+    return entries.where("type_string = 'DIR'").select("disk_id", F.col("sector").alias("dir_sector"), F.col("name").alias("folder"), F.col("parent").alias("parent_sector")).where("parent_sector > 0").distinct()
 
 
 def files(disks: DataFrame, include_content: bool = True, pointers: bool = True) -> DataFrame:

@@ -362,6 +362,4 @@ def image_listing(spark, sf_dir):
     from sectorlake.operators import volume
 
     entries = volume.dir_entries(_written_images(spark, sf_dir))
-    folders = entries.where("type_string = 'DIR'").select("disk_id", F.col("sector").alias("dir_sector"), F.col("name").alias("folder"))
-    files = entries.where("type_string = 'FILE'").select("disk_id", "dir_sector", "name", F.col("bucket").cast("bigint").alias("bucket"))
-    return files.join(folders, ["disk_id", "dir_sector"]).select("disk_id", "folder", "name", "bucket")
+    return entries.where("type_string = 'FILE'").select("disk_id", F.col("dir_name").alias("folder"), "name", F.col("bucket").cast("bigint").alias("bucket"))

@@ -133,8 +133,7 @@ def image_paths(spark, sf_dir):
 def image_positions(spark, sf_dir):
     """Folders' entries in the order that a viewer shows them."""
     shown = volume.listing(volume.dir_entries(_written_images(spark, sf_dir)))
-    folders = shown.where("type_string = 'DIR'").select("disk_id", F.col("sector").alias("dir_sector"), F.col("name").alias("folder"))
-    return shown.join(folders, ["disk_id", "dir_sector"], "left").select("disk_id", F.coalesce("folder", F.lit("")).alias("folder"), "name", "position")
+    return shown.select("disk_id", F.col("dir_name").alias("folder"), "name", "position")
 
 
 def _changes(spark, sf_dir) -> DataFrame:
