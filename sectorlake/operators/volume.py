@@ -209,9 +209,23 @@ def chain_predecessor(disks: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(links, ["disk_id", "sector"], "left")
 
 
+def chains(disks: DataFrame) -> DataFrame:
+    """(disk_id, sector, name, type_string, predecessor, predecessor_name) of every entry, as of ``chain_predecessor``, in one pass
+    over each image."""
+
+    def rows(im: Image) -> list[tuple]:
+        found, links = [e for d in im.folders() for e in im.entries(d)], {}
+        for e in found:
+            if e.linked > 0:
+                links.setdefault(e.linked, []).append((e.sector, e.name))
+        return [(e.sector, e.name, e.kind, *p) for e in found for p in links.get(e.sector, [(None, None)])]
+
+    return per_image(disks, rows, "sector int, name string, type_string string, predecessor int, predecessor_name string")
+
+
 def empty_folders(disks: DataFrame) -> DataFrame:
-    """(disk_id, sector) of folders without any pointer."""
-    return per_image(disks, lambda im: [(s,) for s in im.folders() if s != im.root and not any(im.pointers(s))], "sector int")
+    """(disk_id, sector, name) of folders without any pointer."""
+    return per_image(disks, lambda im: [(s, im.text(s, SECTOR - 80)) for s in im.folders() if s != im.root and not any(im.pointers(s))], "sector int, name string")
 
 
 def first_free(disks: DataFrame) -> DataFrame:

@@ -106,17 +106,14 @@ def image_empty_blocks(spark, sf_dir):
 @query(f"WITH {_MADE} SELECT DISTINCT disk_id, source AS folder, CAST(sectors // 2 AS INTEGER) AS parent_sector FROM files JOIN made USING (disk_id)")
 def image_parents(spark, sf_dir):
     entries = volume.dir_entries(_written_images(spark, sf_dir))
-    names = entries.select("disk_id", F.col("sector").alias("dir_sector"), F.col("name").alias("folder"))
-    return volume.parent_entry(entries).join(names, ["disk_id", "dir_sector"]).select("disk_id", "folder", "parent_sector")
+    return volume.parent_entry(entries).select("disk_id", "folder", "parent_sector")
 
 
 @query(f"SELECT disk_id, 'doc' || doc_id AS name, 'doc' || lead(doc_id) OVER (PARTITION BY disk_id, source, {_bucket_sql("'doc' || doc_id")} ORDER BY doc_id) AS predecessor FROM ({_IMAGE_SQL})")
 def image_chains(spark, sf_dir):
     """The entry whose hash chain link leads to each file; new entries are put in front."""
-    disks = _written_images(spark, sf_dir)
-    entries = volume.dir_entries(disks).where("type_string = 'FILE'").select("disk_id", "sector", "name")
-    found = volume.chain_predecessor(disks, entries)
-    return found.join(entries.select("disk_id", F.col("sector").alias("predecessor"), F.col("name").alias("before")), ["disk_id", "predecessor"], "left").select("disk_id", "name", F.col("before").alias("predecessor"))
+    found = volume.chains(_written_images(spark, sf_dir))
+    return found.where("type_string = 'FILE'").select("disk_id", "name", F.col("predecessor_name").alias("predecessor"))
 
 
 @query(f"""
