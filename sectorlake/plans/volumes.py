@@ -175,8 +175,7 @@ def image_empty_folders(spark, sf_dir):
     one = _image_files(spark, sf_dir).select("disk_id").distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(6))))
     asked = one.select("disk_id", F.col("n").cast("bigint").alias("seq"), F.lit("mkdir").alias("op"), F.lit("").alias("path"), F.concat_ws("-", F.lit("empty"), "n").alias("name"), F.lit(None).cast("binary").alias("content"))
     made = images.described(write.apply(disks, asked).select("disk_id", "content"))
-    names = volume.dir_entries(made, 0).select("disk_id", "sector", F.col("name").alias("folder"))
-    return volume.empty_folders(made).join(names, ["disk_id", "sector"]).select("disk_id", "folder")
+    return volume.empty_folders(made).select("disk_id", F.col("name").alias("folder"))
 
 
 # Raw disks
