@@ -234,11 +234,11 @@ def first_free(disks: DataFrame) -> DataFrame:
 
 
 def rewrite_blocks(sectors: DataFrame) -> DataFrame:
-    """Headers decoded and encoded again, (disk_id, sector, data): equal to what was read, but for unused bytes."""
+    """Headers decoded and encoded again, (disk_id, sector, data, read): equal to what was ``read``, but for unused bytes."""
     from sectorlake.functions.encode import header as encode_header
 
-    found = sectors.where(b.u32(F.col("data"), 0) == 2).select("disk_id", "sector", blocks.header(F.col("data")).alias("h"))
-    return found.select("disk_id", "sector", encode_header(F.col("h"), F.col("sector")).alias("data"))
+    found = sectors.where(b.u32(F.col("data"), 0) == 2).select("disk_id", "sector", blocks.header(F.col("data")).alias("h"), F.col("data").alias("read"))
+    return found.select("disk_id", "sector", encode_header(F.col("h"), F.col("sector")).alias("data"), "read")
 
 
 def paths(nodes: DataFrame, levels: int) -> DataFrame:

@@ -193,3 +193,41 @@ def test_empty_table_of_images(spark, disks):
     assert volume.disk_info(none).count() == volume.files(none).count() == volume.bitmap(none).count() == src.sectors(none).count() == 0
     assert volume.empty_folders(disks).count() == 0 and volume.chain_predecessor(disks, volume.dir_entries(disks, 0).select("disk_id", "sector")).where("predecessor IS NOT NULL").count() == 0
     assert volume.is_empty(disks, spark.createDataFrame([("ofs", 0), ("ofs", 880), ("ofs", 3), ("ofs", 99999), ("ofs", 1500)], "disk_id string, sector int")).where("empty").count() == 1
+
+
+def test_image_queries_write_their_images_once(spark):
+    from sectorlake.plans import contract, volumes  # noqa: F401
+
+    for name, maps, joins in (("image_types", 2, 1), ("image_listing", 2, 1), ("image_chains", 2, 1), ("image_parents", 2, 1), ("image_positions", 2, 1), ("image_rewrites", 1, 1), ("image_empty_folders", 3, 2)):
+        plan = contract.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert (name, plan.count("MapInArrow"), plan.count("Join ")) == (name, maps, joins)
+
+
+def test_images_come_to_python_in_small_batches(spark):
+    from sectorlake import small_batches
+    from sectorlake.plans import contract
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    contract.QUERIES["image_listing"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get(key) == "16777216b"
+    small_batches(spark, False)
+    assert spark.conf.get(key) == "67108864b"
+    spark.conf.set(key, "1m")  # a setting of one's own
+    small_batches(spark), small_batches(spark, False)
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)
+
+
+def test_chains_in_one_pass_and_images_created_with_their_files(spark):
+    from sectorlake.sources.images import described
+
+    spec = spark.createDataFrame([("d", 200, "label", True)], "disk_id string, sectors int, label string, ffs boolean")
+    asked = spark.createDataFrame([("d", 0, "mkdir", "", "top", None), *(("d", k, "write", "top", f"n{k}", bytearray(b"x" * k)) for k in range(1, 80)), ("d", 99, "mkdir", "", "bare", None)], "disk_id string, seq bigint, op string, path string, name string, content binary")
+    one = write.create(spec, asked).collect()
+    assert one == write.apply(write.format_images(spec), asked).collect() and not any(r.error for r in one[0].results)
+    disks = described(spark.createDataFrame([(r.disk_id, r.content) for r in one], "disk_id string, content binary"))
+    entries = volume.dir_entries(disks)
+    got = {(r.sector, r.predecessor) for r in volume.chains(disks).collect()}
+    assert got == {(r.sector, r.predecessor) for r in volume.chain_predecessor(disks, entries.select("disk_id", "sector")).collect()} and any(p for _, p in got)
+    assert {r.dir_name for r in entries.collect()} == {"", "top"} and [r.name for r in volume.empty_folders(disks).collect()] == ["bare"]
