@@ -302,15 +302,18 @@ def type_info(spark, sf_dir):
 
 # Archives: a document is a disk, or several if it does not fit one; all modes of packing take turns.
 _DISK = archive.TRACKS * archive.TRACK_BYTES
+_TASK = 1 << 24  # bytes of the input's files that a task packs at most, about
 _PARTS_SQL = f"(SELECT doc_id || '-' || part AS archive_id, doc_id % 7 AS mode, substr(h, part * {2 * _DISK} + 1, {2 * _DISK}) AS h FROM (SELECT doc_id, hex(encode(text)) AS h, unnest(range(CAST(ceil(octet_length(encode(text)) / {_DISK}.0) AS BIGINT))) AS part FROM documents))"
 
 
 def _archives(spark, sf_dir, password: str | None = None, wanted: str = "true") -> DataFrame:
-    held = table(spark, sf_dir, "documents").select("doc_id", content().alias("content")).where(F.octet_length("content") > 0)
+    documents = table(spark, sf_dir, "documents")
+    held = documents.select("doc_id", content().alias("content")).where(F.octet_length("content") > 0)
     cut = held.select("doc_id", F.posexplode(images.cut_sectors(F.col("content"), F.ceil(F.octet_length("content") / _DISK).cast("int"), _DISK)).alias("part", "content"))
     disks = cut.select(F.concat_ws("-", "doc_id", "part").alias("archive_id"), (F.col("doc_id") % 7).cast("int").alias("mode"), "content").where(wanted)
-    # packing takes much longer than reading, so it is dealt out in more parts than files have
-    return archive.from_images(disks.repartition(4 * spark.sparkContext.defaultParallelism, "archive_id"), password)
+    # packing takes much longer than reading, so it is dealt out in more parts than files have; the more input, the more parts
+    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return archive.from_images(disks.repartition(max(4 * spark.sparkContext.defaultParallelism, -(-size // _TASK)), "archive_id"), password)
 
 
 @query(f"SELECT archive_id, CAST(mode AS BIGINT) AS mode, CAST(ceil(length(h) / {2.0 * archive.TRACK_BYTES}) AS BIGINT) * {archive.TRACK_BYTES} AS unpacked, 'ok' AS status FROM {_PARTS_SQL}")

@@ -331,3 +331,55 @@ def test_archive_queries_make_each_wanted_archive_once(spark):
     assert plan.count("octet_length(content") < 3  # images are not cut by columns
     encrypted = contract.QUERIES["archive_encrypted"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "3-0" in encrypted[encrypted.rindex("MapInArrow") :]  # the filter stands below the packing
+
+
+def test_adaptive_bits_take_one_walk_a_byte():
+    r = random.Random(12)
+    data = bytes(min(255, int(r.expovariate(0.05))) for _ in range(70000))  # the code is halved on the way
+    tree, want = a.Adaptive(), []
+    for x in data:
+        want += tree.path(x)
+        tree.update(x)
+    fast = a.Adaptive()
+    (first, rest), count = calls(lambda: (fast.encode(data[:40000]), fast.encode(data[40000:])))
+    assert first.tolist() + rest.tolist() == want and (fast.weight, fast.below, fast.above) == (tree.weight, tree.below, tree.above)
+    assert count < 3 * len(data) and not len(fast.encode(b""))
+
+
+def test_packed_runs_against_one_byte_at_a_time():
+    r = random.Random(13)
+    for n in (*range(9), 253, 254, 255, 256, 0xFFFF, 0x10000, 0x10003, 0x10004):
+        for x in (b"a", b"\x90"):
+            for data in (x * n, b"ab" + x * n, x * n + b"\x90", b"\x90\x90" + x * n + b"cccc"):
+                assert a.runs(a.packed_runs(data), len(data)) == data
+                if n < 0xFFFF:
+                    assert a.packed_runs(data) == escape(data)
+    for _ in range(300):
+        data = b"".join(r.choice([b"\x90", b"a", b"ab", b"x" * r.randint(1, 6), b"\x90" * r.randint(1, 6), bytes(300)]) for _ in range(r.randint(0, 30)))
+        assert a.packed_runs(data) == escape(data)
+
+
+def test_rows_of_many_files_go_in_few_batches():
+    import pyarrow as pa
+
+    from sectorlake.operators import iff
+
+    schema = pa.schema([("id", pa.int32()), ("content", pa.binary())])
+    files = [[(k, bytes(1000))] if k % 3 else [] for k in range(3000)] + [[(-1, bytes(3 << 20)), (-2, None)], [(-3, b"")]]
+    found = list(iff.in_batches(files, schema))
+    assert [r for b in found for r in b["id"].to_pylist()] == [r[0] for f in files for r in f]
+    assert len(found) < 6 and max(b.nbytes for b in found[:-2]) < 2 << 20 and not list(iff.in_batches([[], []], schema))
+
+
+def test_headers_are_read_of_their_bytes_and_parts_grow_with_the_input(spark, monkeypatch):
+    from sectorlake.plans import contract, volumes
+
+    query = lambda: contract.QUERIES["archive_headers"](spark, "/root/testdata/sf0.001")
+    plan = query()._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(content#" in plan[: plan.rindex("MapInArrow")] and f", 1, {a.HEAD})" in plan
+    few = query().rdd.getNumPartitions()
+    monkeypatch.setattr(volumes, "_TASK", 1000)
+    assert few == 16 and query().rdd.getNumPartitions() > 100
+    good = a.pack(b"disk" * 9000, 4)
+    files = spark.createDataFrame([("a", bytearray(good)), ("head", bytearray(good[: a.HEAD])), ("short", bytearray(good[: a.HEAD - 1])), ("none", None)], "archive_id string, content binary")
+    assert {r.archive_id: (r.status, r.unpacked) for r in a.archive_headers(files).collect()} == {"a": ("ok", 4 * 11264), "head": ("ok", 4 * 11264), "short": ("too short", None), "none": ("too short", None)}
