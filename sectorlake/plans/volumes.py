@@ -334,7 +334,7 @@ _TRACKS_SQL = f"(SELECT archive_id, mode, CAST(number AS INTEGER) AS number, md5
 
 
 def _disk_tracks(tracks: DataFrame) -> DataFrame:
-    """Tracks of disk images that hold anything, with their md5."""
+    """Tracks of disk images, with their md5."""
     return tracks.where("number IS NOT NULL").withColumn("md5", F.md5(F.hex("data"))).drop("data", "problem")
 
 
@@ -353,7 +353,7 @@ def archive_encrypted(spark, sf_dir):
     flags = flags.select("archive_id", F.array_join("flags", ",").alias("flags"), "archive", F.col("archive").alias("content"))
     bad = archive.image_status(flags, "guess", key=("archive_id", "flags", "archive"))
     bad = bad.select("archive_id", "flags", F.col("status").alias("otherwise"), F.col("archive").alias("content"))
-    return _disk_tracks(archive.image_tracks(bad, "secret", key=("archive_id", "flags", "otherwise")))
+    return _disk_tracks(archive.image_tracks(bad, "secret", key=("archive_id", "flags", "otherwise"), blank=True))
 
 
 # Pictures of one plane, 64 pixels wide: a document's bytes are the lines; odd ones are packed.

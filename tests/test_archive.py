@@ -383,3 +383,52 @@ def test_headers_are_read_of_their_bytes_and_parts_grow_with_the_input(spark, mo
     good = a.pack(b"disk" * 9000, 4)
     files = spark.createDataFrame([("a", bytearray(good)), ("head", bytearray(good[: a.HEAD])), ("short", bytearray(good[: a.HEAD - 1])), ("none", None)], "archive_id string, content binary")
     assert {r.archive_id: (r.status, r.unpacked) for r in a.archive_headers(files).collect()} == {"a": ("ok", 4 * 11264), "head": ("ok", 4 * 11264), "short": ("too short", None), "none": ("too short", None)}
+
+
+def same_sums(n):
+    """Texts of which a wrong key makes others with the same sum."""
+    r, found = random.Random(14), []
+    while len(found) < n:
+        text = bytes(r.choices(b"abcdefghijklmnopqrstuvwxyz", k=70))
+        other, _ = a.decrypt(a.encrypt(text, a.crc16(b"secret"))[0], a.crc16(b"guess"))
+        if other != text and other[50:] == text[50:] and a.additive(other) == a.additive(text):
+            found.append(text)
+    return found
+
+
+def test_wrong_passwords_are_known_where_sums_stay_the_same():
+    for text in same_sums(2):
+        for disk in (text, text + b"more" * 9000):
+            whole = a.pack(disk, 0, "secret")
+            assert a.unpack(whole, "secret") == (disk.ljust(80 * 11264, b"\0"), [], "ok") and a.status(whole, "secret") == a.status(a.pack(disk)) == "ok"
+            for archive in (whole, whole + b"trailing bytes"):
+                assert a.unpack(archive, "guess")[2] == a.status(archive, "guess") == "wrong password" == next(a.tracks(archive, "guess")).status
+            assert a.unpack(whole[:-1], "secret")[0] == a.unpack(whole, "secret")[0]  # archives without a note are read as before
+    assert len({a.key_note(k) for k in range(1 << 16)}) == 1 << 16
+
+
+def test_the_first_status_is_that_of_unpacking():
+    data = sample(5)
+    good, bad = track(0, data, 0, 0, data, len(data)), bytearray(track(1, data, 9, 0, data, len(data)))
+    bad[50] ^= 1
+    locked = [a.pack(words(30000), mode, "secret") for mode in range(7)]
+    damaged = [x[:k] + bytes([x[k] ^ 1]) + x[k + 1 :] for x in locked for k in (3, 20, 60, 70, 100, len(x) - 100)]
+    for x in (b"", b"\x1f\x8b" + bytes(60), build([]), build([good]), build([good, bytes(bad)]), build([good[:-5]]), build([good], kind=7), *locked, *(x[:-5000] for x in locked), *damaged):
+        for password in ("secret", "guess"):
+            assert a.status(x, password) == a.unpack(x, password)[2]
+
+
+def test_encrypted_archives_of_zeros_and_of_the_same_sums(spark, tmp_path):
+    import duckdb
+
+    from sectorlake.plans import contract, volumes  # noqa: F401
+
+    texts = [(3, "\0" * 12000 + "text"), (13, "text" + "\0" * 40000), (23, "\0" * 30000)]
+    texts += [(70 * k + d, t.decode()) for k, t in enumerate(same_sums(2)) for d in (63, 43)]  # stored, and with runs
+    spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    contract.QUERIES["archive_encrypted"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    mine, theirs = f"SELECT archive_id, flags, status, size, number, md5, otherwise FROM '{tmp_path}/out/*.parquet'", contract.SQL["archive_encrypted"]
+    assert con.execute(f"SELECT count(*) FROM (({mine} EXCEPT ALL {theirs}) UNION ALL ({theirs} EXCEPT ALL {mine}))").fetchall() == [(0,)]
+    assert con.execute(f"SELECT count(*) FROM ({mine})").fetchall() == [(2 + 4 + 3 + 4,)]
