@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sectorlake import small_batches
 from sectorlake.functions import binary as b, encode
 from sectorlake.operators import archive, detect, iff, overlay, volume, write
 from sectorlake.plans.contract import _IMAGE_SQL, _NEED, HASH_SQL, _blocks_sql, _image_files, _written_images, content, query, table
@@ -306,11 +307,11 @@ _TASK = 1 << 24  # bytes of the input's files that a task packs at most, about
 _PARTS_SQL = f"(SELECT doc_id || '-' || part AS archive_id, doc_id % 7 AS mode, substr(h, part * {2 * _DISK} + 1, {2 * _DISK}) AS h FROM (SELECT doc_id, hex(encode(text)) AS h, unnest(range(CAST(ceil(octet_length(encode(text)) / {_DISK}.0) AS BIGINT))) AS part FROM documents))"
 
 
-def _archives(spark, sf_dir, password: str | None = None, wanted: str = "true") -> DataFrame:
+def _archives(spark, sf_dir, password: str | None = None) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held = documents.select("doc_id", content().alias("content")).where(F.octet_length("content") > 0)
     cut = held.select("doc_id", F.posexplode(images.cut_sectors(F.col("content"), F.ceil(F.octet_length("content") / _DISK).cast("int"), _DISK)).alias("part", "content"))
-    disks = cut.select(F.concat_ws("-", "doc_id", "part").alias("archive_id"), (F.col("doc_id") % 7).cast("int").alias("mode"), "content").where(wanted)
+    disks = cut.select(F.concat_ws("-", "doc_id", "part").alias("archive_id"), (F.col("doc_id") % 7).cast("int").alias("mode"), "content")
     # packing takes much longer than reading, so it is dealt out in more parts than files have; the more input, the more parts
     size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return archive.from_images(disks.repartition(max(4 * spark.sparkContext.defaultParallelism, -(-size // _TASK)), "archive_id"), password)
@@ -344,10 +345,11 @@ def archive_images(spark, sf_dir):
     return _disk_tracks(archive.image_tracks(_archives(spark, sf_dir)))
 
 
-@query(f"SELECT archive_id, 'encrypted' AS flags, 'ok' AS status, {_DISK} AS size, number, md5, 'wrong password' AS otherwise FROM {_TRACKS_SQL} WHERE archive_id LIKE '%3-0'")
+@query(f"SELECT archive_id, 'encrypted' AS flags, 'ok' AS status, {_DISK} AS size, number, md5, 'wrong password' AS otherwise FROM {_TRACKS_SQL}")
 def archive_encrypted(spark, sf_dir):
     """Encrypted archives with their password and with another one."""
-    held = _archives(spark, sf_dir, "secret", "archive_id LIKE '%3-0'").withColumn("archive", F.col("content"))
+    small_batches(spark)  # archives go to Python three times more
+    held = _archives(spark, sf_dir, "secret").withColumn("archive", F.col("content"))
     # each step keeps the archive beside what it finds, so archives are made once and nothing is joined
     flags = archive.archive_headers(held, key=("archive_id", "archive"))
     flags = flags.select("archive_id", F.array_join("flags", ",").alias("flags"), "archive", F.col("archive").alias("content"))

@@ -432,3 +432,32 @@ def test_encrypted_archives_of_zeros_and_of_the_same_sums(spark, tmp_path):
     mine, theirs = f"SELECT archive_id, flags, status, size, number, md5, otherwise FROM '{tmp_path}/out/*.parquet'", contract.SQL["archive_encrypted"]
     assert con.execute(f"SELECT count(*) FROM (({mine} EXCEPT ALL {theirs}) UNION ALL ({theirs} EXCEPT ALL {mine}))").fetchall() == [(0,)]
     assert con.execute(f"SELECT count(*) FROM ({mine})").fetchall() == [(2 + 4 + 3 + 4,)]
+
+
+def test_every_archive_is_encrypted_and_read_with_both_passwords(spark, tmp_path):
+    import duckdb
+
+    from sectorlake.plans import contract, volumes
+
+    texts = [(k, f"text {k} " * (20 * k)) for k in range(60)] + [(64, None), (65, ""), (66, "a disk of more than 80 tracks " * 31000)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    contract.QUERIES["archive_encrypted"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    mine, theirs = f"SELECT archive_id, flags, status, size, number, md5, otherwise FROM '{tmp_path}/out/*.parquet'", contract.SQL["archive_encrypted"]
+    assert con.execute(f"SELECT count(*) FROM (({mine} EXCEPT ALL {theirs}) UNION ALL ({theirs} EXCEPT ALL {mine}))").fetchall() == [(0,)]
+    found = {x for (x,) in con.execute(f"SELECT DISTINCT archive_id FROM ({mine})").fetchall()}
+    assert found == {f"{k}-0" for k, t in texts if t} | {"66-1"} and 30 * 31000 > volumes._DISK
+
+
+def test_encrypting_many_is_encrypting_each():
+    r = random.Random(16)
+    for n in (0, 1, 47, 48, 130):
+        strings = [r.randbytes(r.choice([0, 1, 5, 1023, 1024, 1025, 3000])) for _ in range(n)]
+        for key in (0, 0xFFFF, 0x23D2):
+            assert a.encrypt_all(strings, key) == [a.encrypt(x, key)[0] for x in strings]
+    disks = [(sample(k, r.choice([0, 1, 500, 11264, 20000])), k % 7) for k in range(70)]
+    for password in (None, "word"):
+        assert a.pack_all(disks, password) == [a.pack(disk, mode, password) for disk, mode in disks]
+    (_, count) = calls(lambda: a.encrypt_all([bytes(4000)] * 300, 1))
+    assert count < 0.1 * 300 * 4000
